@@ -102,4 +102,4 @@ def fingerprint(**columns) -> Column:
 
 def sorted_map(c) -> Column:
     """Map with its entries in key order, so that its JSON is canonical."""
-    return F.map_from_entries(F.array_sort(F.map_entries(_col(c))))
+    return F.map_from_entries(F.sort_array(F.map_entries(_col(c))))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quire.functions.stats import promotion_ready, ratio, wilson_lower
 from quire.functions.text import _col, casefold, norm_dash, unescape_entities
 from quire.operators.screening import match_rules, relevance_text, triage
+from quire.session import cut_lineage
 
 WORD = r"[\p{L}\p{N}]+(?:[-'][\p{L}\p{N}]+)*"
 
@@ -188,7 +189,7 @@ def examples(labeled: DataFrame, winners: DataFrame, per_label: int = 5, gap_onl
     w = Window.partitionBy("phrase", "label").orderBy("ord")
     first = hits.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_label)
     return first.groupBy("phrase", "label").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("n", "doi"))), lambda x: x["doi"]).alias("dois"))
+        F.transform(F.sort_array(F.collect_list(F.struct("n", "doi"))), lambda x: x["doi"]).alias("dois"))
 
 
 def candidate_pool(labeled: DataFrame, size: int = 80, counts: DataFrame | None = None) -> DataFrame:
@@ -234,14 +235,15 @@ def pair_signals(labeled: DataFrame, limit: int = 20, pool_size: int = 80, min_g
                  counts: DataFrame | None = None) -> DataFrame:
     """Two-phrase rules that predict better than either phrase alone.
 
-    The pool is one array of at most ``pool_size`` phrases, read by a scalar subquery. A row
+    The pool holds at most ``pool_size`` phrases; it is written once to the checkpoint folder,
+    because it is read three times, and enters each row as one array through a scalar subquery. A row
     therefore yields at most pool_size*(pool_size-1)/2 pairs, all of them counted by a
     map-side combine over that same bounded key space; nothing is paired across rows.
     """
     counts = phrase_counts(labeled) if counts is None else counts
-    pool = candidate_pool(labeled, pool_size, counts)
-    pool_array = pool.agg(F.array_sort(F.collect_list("phrase"))).scalar()
-    rows = labeled.withColumn("_sel", F.array_sort(F.array_intersect("features", pool_array)))
+    pool = cut_lineage(candidate_pool(labeled, pool_size, counts))
+    pool_array = pool.agg(F.sort_array(F.collect_list("phrase"))).scalar()
+    rows = labeled.withColumn("_sel", F.sort_array(F.array_intersect("features", pool_array)))
     keep_cols = ["batch_id", "label", "source", "gap"]
     firsts = rows.select(*keep_cols, "_sel", F.posexplode_outer("_sel").alias("pos", "first")).filter("first IS NOT NULL")
     later = F.expr("slice(_sel, pos + 2, size(_sel))")

@@ -58,8 +58,8 @@ def state_membership(tables: dict[str, DataFrame], key: str = "doi") -> DataFram
 
 # Pairs of states one key may not hold together.
 FORBIDDEN_OVERLAPS = [
-    ("queued", "review"), ("queued", "rejected"), ("queued", "canonical"), ("review", "rejected"),
-    ("review", "staged"), ("review", "canonical"), ("rejected", "staged"), ("rejected", "canonical"),
+    ("queued", "review"), ("queued", "rejected"), ("review", "rejected"), ("review", "staged"),
+    ("review", "canonical"), ("rejected", "staged"), ("rejected", "canonical"), ("staged", "canonical"),
 ]
 
 
