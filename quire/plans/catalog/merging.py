@@ -77,8 +77,7 @@ def i7(spark, sf):
     return AL.resolve_aliases(V.alias_edges(spark, sf))[0]
 
 
-@query("i7_alias_cycles", """SELECT 'n' || n_nationkey AS src FROM nation WHERE n_nationkey < 0
-    UNION ALL SELECT 'r' || (n_nationkey)::VARCHAR FROM nation""")
+@query("i7_alias_cycles", "SELECT 'r' || n_nationkey AS src FROM nation")
 def i7_cycles(spark, sf):
     # Nations form one ring ordered by key; every source lies on the cycle.
     n = V.table(spark, sf, "nation").select("n_nationkey")
@@ -260,7 +259,7 @@ def j22(spark, sf):
 # -- evidence ------------------------------------------------------------------------
 
 @query("j5_merge_evidence", _W("decided") + """, o AS (SELECT * FROM decided WHERE work_type <> 'es'),
-    n AS (SELECT doi, ord, upper(abstract) AS abstract, CASE WHEN work_type = 'de' THEN '' ELSE 'b2' END AS batch_id,
+    n AS (SELECT doi, ord, 'v2 ' || abstract AS abstract, CASE WHEN work_type = 'de' THEN '' ELSE 'b2' END AS batch_id,
       CASE WHEN work_type = 'fr' THEN 'keep' ELSE '' END AS human_decision FROM decided WHERE length(abstract) > 2000)
     SELECT coalesce(o.doi, n.doi) AS doi, md5(coalesce(n.abstract, o.abstract)) AS h,
       CASE WHEN n.doi IS NULL THEN o.batch_id WHEN o.doi IS NOT NULL AND n.batch_id = '' THEN o.batch_id ELSE n.batch_id END AS batch_id,
@@ -269,7 +268,7 @@ def j22(spark, sf):
 def j5(spark, sf):
     e = V.evidence_decided(spark, sf)
     new = e.filter("length(abstract) > 2000").withColumns({
-        "abstract": F.upper("abstract"), "batch_id": F.when(F.col("work_type") == "de", "").otherwise("b2"),
+        "abstract": F.concat(F.lit("v2 "), "abstract"), "batch_id": F.when(F.col("work_type") == "de", "").otherwise("b2"),
         "human_decision": F.when(F.col("work_type") == "fr", "keep").otherwise(""), "correction_decision": F.lit("")})
     return E.merge_evidence(e.filter("work_type <> 'es'"), new).select("doi", F.md5("abstract").alias("h"), "batch_id", "human_decision", "side")
 
