@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from quire.functions.markup import clean_provider_abstract
 from quire.functions.names import contribs_compatible, contribs_same_set, name_parts
+from quire.functions.staging import stage
 from quire.functions.text import (
     _JOIN, _after_unicode, _before_unicode, display_name, nfkc, one_day_apart, strip, unescape_entities,
 )
@@ -45,16 +46,8 @@ def is_empty(value: Column) -> Column:
 
 def norm_by_field(field: Column, arr: Column) -> Column:
     """Comparison form of a value array under the rules of its field, each Unicode step once per row."""
-    def before(x: Column) -> Column:
-        return F.when(field == "title", _before_unicode(x, "title")).when(
-            field == "abstract", _before_unicode(x, "abstract")).otherwise(_before_unicode(x, "other"))
-
-    def after(x: Column) -> Column:
-        return F.when(field == "abstract", _after_unicode(x, "abstract")).when(
-            field == "pages", _after_unicode(x, "pages")).otherwise(_after_unicode(x, "other"))
-
     raw = F.split(unescape_entities(F.array_join(arr, _JOIN)), _JOIN)
-    out = F.transform(F.split(nfkc(F.array_join(F.transform(raw, before), _JOIN)), _JOIN), after)
+    out = F.transform(F.split(nfkc(F.array_join(F.transform(raw, lambda x: _before_unicode(x, field)), _JOIN)), _JOIN), lambda x: _after_unicode(x, field))
     out = F.when(field == "keywords", F.sort_array(F.array_distinct(out))).otherwise(out)
     return F.when(F.size(arr) == 0, F.array().cast("array<string>")).otherwise(out)
 
@@ -88,24 +81,31 @@ def _near_tokens_udf(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([near(a, b) for a, b in zip(left, right)], dtype="object")
 
 
-def near_equal(a: Column, b: Column) -> Column:
-    """Normalised abstracts that differ only marginally. Guards keep other pairs inside the JVM."""
+def with_near(df: DataFrame, a: Column, b: Column, out: str) -> DataFrame:
+    """Add ``out``: normalised abstracts differ only marginally. Guards keep other pairs inside the JVM."""
     compact = lambda c: F.regexp_replace(c, r"[^\p{L}\p{N}_]+", "")
-    same = compact(a) == compact(b)
+    df = stage(df, _a=F.nullif(a, F.lit("")), _b=F.nullif(b, F.lit("")))
+    a, b = F.col("_a"), F.col("_b")
     la, lb = F.length(a), F.length(b)
-    close = (a != "") & (b != "") & ~same & (F.least(la, lb) / F.greatest(la, lb, F.lit(1)) >= 0.95)
-    return (a != "") & (b != "") & F.coalesce(same | _near_udf(F.when(close, a), F.when(close, b)), F.lit(False))
+    df = stage(df, _eqc=F.coalesce(compact(a) == compact(b), F.lit(False)),
+               _close=F.coalesce(F.least(la, lb) / F.greatest(la, lb) >= 0.95, F.lit(False)))
+    ask = F.col("_close") & ~F.col("_eqc")
+    df = df.withColumn("_n", _near_udf(F.when(ask, a), F.when(ask, b)))
+    return df.withColumn(out, F.col("_eqc") | F.coalesce("_n", F.lit(False))).drop("_a", "_b", "_eqc", "_close", "_n")
 
 
-def is_truncation(canon: Column, prov: Column) -> Column:
-    """The normalised provider abstract is a prefix, clearly shorter than the canonical one."""
+def with_truncation(df: DataFrame, canon: Column, prov: Column, out: str) -> DataFrame:
+    """Add ``out``: the normalised provider abstract is a prefix, clearly shorter than the canonical one."""
     words = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    c, p = words(canon), words(prov)
-    n = F.size(p)
-    fits = (F.length(prov) < F.length(canon)) & (n >= 8) & (n < F.size(c)) & (n / F.size(c) <= 0.9)
-    head = F.slice(c, F.lit(1), n)
-    exact = fits & (head == p)
-    return exact | F.coalesce(_near_tokens_udf(F.when(fits & ~exact, head), F.when(fits & ~exact, p)), F.lit(False))
+    df = stage(df, _c=words(canon), _p=words(prov), _short=F.coalesce(F.length(prov) < F.length(canon), F.lit(False)))
+    n, m = F.size("_p"), F.size("_c")
+    df = stage(df, _fits=F.coalesce(F.col("_short") & (n >= 8) & (n < m) & (n / m <= 0.9), F.lit(False)),
+               _head=F.slice("_c", F.lit(1), F.greatest(n, F.lit(0))))
+    df = stage(df, _exact=F.coalesce(F.col("_fits") & (F.col("_head") == F.col("_p")), F.lit(False)))
+    ask = F.col("_fits") & ~F.col("_exact")
+    df = df.withColumn("_n", _near_tokens_udf(F.when(ask, F.col("_head")), F.when(ask, F.col("_p"))))
+    return df.withColumn(out, F.col("_exact") | F.coalesce("_n", F.lit(False))).drop(
+        "_c", "_p", "_short", "_fits", "_head", "_exact", "_n")
 
 
 def classify(df: DataFrame) -> DataFrame:
@@ -119,26 +119,25 @@ def classify(df: DataFrame) -> DataFrame:
     df = df.withColumn("_pa", F.when((field == "abstract") & (strip(raw) != ""), raw))
     df = clean_provider_abstract(df, "_pa", "_clean")
     refused = F.col("_pa").isNotNull() & ~F.col("_clean.deterministic")
-    df = df.withColumn("_refused", F.coalesce(refused, F.lit(False)))
-    df = df.withColumn("_prov", F.when(F.col("_pa").isNotNull() & ~F.col("_refused"), F.array("_clean.normalized"))
-                       .otherwise(F.col("provider_value"))).drop("_clean", "_pa")
-    df = df.withColumn("canon_norm", norm_by_field(field, F.col("canonical_value")))
-    df = df.withColumn("prov_norm", norm_by_field(field, F.col("_prov")))
-    df = df.withColumn("canon_forms", _forms(field, F.col("canonical_value"), F.col("canon_norm")))
-    df = df.withColumn("prov_forms", _forms(field, F.col("_prov"), F.col("prov_norm")))
-    no_canon, no_prov = is_empty(F.col("canonical_value")), is_empty(F.col("_prov"))
-    text = lambda c: F.when((field == "abstract") & ~no_canon & ~no_prov, F.get(F.col(c), F.lit(0)))
-    df = df.withColumn("_same", (F.col("canon_norm") == F.col("prov_norm")) | F.coalesce(
+    df = stage(df, _refused=F.coalesce(refused, F.lit(False)),
+               _prov=F.when(F.col("_pa").isNotNull() & ~F.coalesce(refused, F.lit(False)), F.array("_clean.normalized"))
+               .otherwise(F.col("provider_value"))).drop("_clean", "_pa")
+    df = stage(df, canon_norm=norm_by_field(field, F.col("canonical_value")), prov_norm=norm_by_field(field, F.col("_prov")))
+    df = stage(df, canon_forms=_forms(field, F.col("canonical_value"), F.col("canon_norm")),
+               prov_forms=_forms(field, F.col("_prov"), F.col("prov_norm")),
+               _no_canon=is_empty(F.col("canonical_value")), _no_prov=is_empty(F.col("_prov")))
+    no_canon, no_prov = F.col("_no_canon"), F.col("_no_prov")
+    df = stage(df, _same=(F.col("canon_norm") == F.col("prov_norm")) | F.coalesce(
         F.when(field.isin("authors", "editors"), contribs_compatible("canon_forms", "prov_forms")), F.lit(False)))
-    df = df.withColumn("_near", F.coalesce(near_equal(
-        F.when(~F.col("_same"), text("canon_norm")), F.when(~F.col("_same"), text("prov_norm"))), F.lit(False)))
+    text = lambda c: F.when((field == "abstract") & ~no_canon & ~no_prov & ~F.col("_same"), F.get(F.col(c), F.lit(0)))
+    df = with_near(df, text("canon_norm"), text("prov_norm"), "_near")
     verdict = (
         F.when(F.col("_refused"), "provider-review-required")
         .when(no_canon & no_prov, "equal").when(no_canon, "canonical-missing").when(no_prov, "provider-missing")
         .when(F.col("canonical_value") == F.col("_prov"), "equal")
         .when(F.col("_same") | F.col("_near"), "formatting-only")
         .when(F.col("is_identity"), "identity-problem").otherwise("substantive-difference"))
-    return df.withColumn("classification", verdict).drop("_prov", "_refused", "_same", "_near")
+    return stage(df, classification=verdict).drop("_prov", "_refused", "_same", "_near", "_no_canon", "_no_prov")
 
 
 def compare(canon_long: DataFrame, prov_long: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -170,10 +169,10 @@ def _equivalent_to_first(df: DataFrame, group: list[str], norm: str, forms: str,
     people = F.col("field").isin("authors", "editors")
     same = (F.col(raw) == F.col("_first.raw")) | (F.col(norm) == F.col("_first.norm")) | F.coalesce(
         F.when(people, contribs_compatible(F.col(forms), F.col("_first.forms"))), F.lit(False))
-    df = df.withColumn("_eq", same)
+    df = stage(df, _eq=same)
     pick = lambda c: F.when((F.col("field") == "abstract") & ~F.col("_eq"), F.get(c, F.lit(0)))
-    near = near_equal(pick(F.col(norm)), pick(F.col("_first.norm")))
-    return df.withColumn("same_as_first", F.col("_eq") | F.coalesce(near, F.lit(False))).drop("_first", "_eq")
+    df = with_near(df, pick(F.col(norm)), pick(F.col("_first.norm")), "_nf")
+    return df.withColumn("same_as_first", F.col("_eq") | F.col("_nf")).drop("_first", "_eq", "_nf")
 
 
 def disagreements(comparisons: DataFrame) -> DataFrame:
@@ -204,7 +203,8 @@ def review_findings(comparisons: DataFrame) -> DataFrame:
     Equal and provider-missing pairs are dropped, an author list of an editor-only record
     becomes a role finding, year and venue differences vanish if another provider confirms
     the canonical value, equal alternatives of several providers are united, and what two
-    providers agree on without a confirming third is actionable.
+    providers agree on without a confirming third is actionable. ``comparisons`` is read three
+    times: hand in a written or checkpointed table.
     """
     c = F.col
     pub = Window.partitionBy("publication_id")
@@ -229,11 +229,10 @@ def review_findings(comparisons: DataFrame) -> DataFrame:
     first = lambda x: F.get(c(x), F.lit(0))
     plain = plain.withColumn("_day", (c("field") == "created_date") & one_day_apart(first("canonical_value"), first("provider_value")))
     is_text = (c("field") == "abstract") & (c("classification") == "substantive-difference")
-    cut = is_truncation(F.when(is_text, first("canon_norm")), F.when(is_text, first("prov_norm")))
-    plain = plain.withColumn("_cut", F.coalesce(cut, F.lit(False)))
+    plain = with_truncation(plain, F.when(is_text, first("canon_norm")), F.when(is_text, first("prov_norm")), "_cut")
     loose = lambda a: F.transform(c(a), lambda x: F.when(c("field").isin("title", "abstract"), F.regexp_replace(
         F.regexp_replace(x, r"(?U)\s*-\s*", "-"), r"(?U)\s+([,.;:!?])", "$1")).otherwise(x))
-    plain = plain.withColumn("_key", F.to_json(F.struct(loose("canon_norm").alias("a"), loose("prov_norm").alias("b"))))
+    plain = stage(plain, _key=F.to_json(F.struct(loose("canon_norm").alias("a"), loose("prov_norm").alias("b"))))
     plain = _equivalent_to_first(plain, ["publication_id", "field", "classification"], "prov_norm", "prov_forms", "provider_value", "p_ord")
     kind = (F.when(c("classification") == "provider-review-required", c("provider"))
             .when(c("same_as_first"), F.lit("first")).otherwise(c("_key")))
