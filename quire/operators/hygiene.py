@@ -118,3 +118,46 @@ def rename_contributor(pubs: DataFrame, changes: DataFrame, column: str = "autho
 def named(persons) -> Column:
     """Display names of an array of contributor structs."""
     return F.transform(persons, display_name)
+
+
+def apply_hygiene(pubs: DataFrame, proposals: DataFrame, decisions: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Hygiene proposals written into reference lists: ``(staged rows, changes, violations)``.
+
+    ``pubs``: id, refs. ``proposals``: id, pos, current_value, proposed_value, review_required.
+    Without decisions only deterministic proposals apply. A decision (id, pos, decision,
+    resolved_value) that equals the current value is a violation here, not a no-op.
+    """
+    now = F.get(F.col("refs"), F.col("pos").cast("int"))["citation"]
+    rows = proposals.join(pubs.select("id", "refs"), "id", "left").withColumn("_now", now).drop("refs")
+    if decisions is None:
+        rows = rows.filter(~F.col("review_required")).withColumn("decision", F.lit("deterministic")).withColumn("value", F.col("proposed_value"))
+    else:
+        rows = rows.join(decisions.select("id", "pos", "decision", "resolved_value"), ["id", "pos"], "left").withColumn(
+            "value", F.when(F.col("decision") == "accepted", F.col("proposed_value")).otherwise(F.col("resolved_value")))
+    d = F.col("decision")
+    problem = (
+        F.when(F.col("_now").isNull(), "gone").when(F.col("_now") != F.col("current_value"), "stale")
+        .when(d.isNull() | (d == "deferred"), "undecided").when((d == "accepted") & F.col("review_required"), "review required")
+        .when(d == "rejected", F.lit(None)).when(F.coalesce(strip("value"), F.lit("")) == "", "no value")
+        .when(F.col("value") == F.col("_now"), "no change"))
+    rows = rows.withColumn("problem", problem)
+    changes = rows.filter((F.col("problem").isNull()) & (d != "rejected")).select("id", "pos", "decision", "value")
+    per_pub = changes.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("pos").cast("int"), "value"))).alias("_m"))
+    staged = pubs.join(per_pub, "id").withColumn("refs", F.transform("refs", lambda r, i: r.withField(
+        "citation", F.coalesce(F.try_element_at("_m", i), r["citation"])))).drop("_m")
+    return staged, changes, rows.filter("problem IS NOT NULL").select("id", "pos", "problem")
+
+
+def evidence_fingerprint(doi, payload) -> Column:
+    """Digest of the provider payload a contributor repair was reviewed against."""
+    return F.sha2(F.concat_ws("\n", doi, payload), 256)
+
+
+def apply_repairs(works: DataFrame, repairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reviewed contributors for works whose payload is unchanged, and stale repairs.
+
+    ``works``: doi, payload (canonical JSON). ``repairs``: doi, fingerprint, authors, editors.
+    """
+    both = repairs.join(works.select("doi", evidence_fingerprint(F.col("doi"), F.col("payload")).alias("now")), "doi")
+    return (both.filter("now = fingerprint").select("doi", "authors", "editors"),
+            both.filter("now <> fingerprint").select("doi"))

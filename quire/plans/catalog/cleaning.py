@@ -104,9 +104,56 @@ def c13(spark, sf):
         "page_id", "pos", F.md5("r.normalized").alias("h"), "r.deterministic", "r.reason")
 
 
-@query("c13_clean_citations")
+_CITES = _VIEW + r""", cit AS (SELECT *, CASE WHEN unb THEN 'unbalanced-markup' WHEN len(names) = 0 AND NOT contains(d, '<!--') THEN NULL
+      WHEN regexp_matches(d, '(?i)[\p{L}\p{N}]<(?:b|bold|em|i|italic|strong|styled-content|suffix|title|tt)(?:\s[^<>]*)?>(?:<[^<>]*>)*[\p{L}\p{N}]')
+        OR regexp_matches(d, '(?i)[\p{L}\p{N}](?:<[^<>]*>)*</(?:b|bold|em|i|italic|strong|styled-content|suffix|title|tt)>[\p{L}\p{N}]') THEN 'ambiguous-inline-boundary'
+      WHEN contains(d, '<!--') THEN 'xml-comment-review'
+      WHEN len(list_filter(names, lambda n: n NOT IN ('b','bold','em','i','italic','scp','small-caps','strong','styled-content','suffix','title','tt','p'))) > 0 THEN 'unsupported-markup' END AS crefuse,
+      CASE WHEN len(names) = 0 THEN d ELSE trim(regexp_replace(regexp_replace(regexp_replace(d, '</?p>', ' ', 'g'), '</?(?:b|bold|em|i|italic|scp|small-caps|strong|styled-content|suffix|title|tt)>', '', 'g'), '\s+', ' ', 'g')) END AS cclean FROM ttl)"""
+
+
+@query("c13_clean_citations", _CITES + " SELECT page_id, pos, md5(CASE WHEN crefuse IS NULL THEN cclean ELSE text END) AS h, crefuse IS NULL AS deterministic FROM cit")
 def c13_citations(spark, sf):
-    return K.clean_citations(pieces(spark, sf), "text", "r").groupBy("r.reason").agg(F.count("*").alias("n"))
+    return K.clean_citations(pieces(spark, sf), "text", "r").select("page_id", "pos", F.md5("r.normalized").alias("h"), "r.deterministic")
+
+
+def _piece_lists(spark, sf) -> DataFrame:
+    """Pages with their pieces as one reference list each."""
+    p = V.table(spark, sf, "pages")
+    cut = F.regexp_extract_all("html", F.lit(_PIECES), F.lit(0))
+    whole = F.concat(F.array("html"), cut, F.transform(cut, lambda x: F.regexp_replace(x, r"</?(?:title|h1)>", "")))
+    return p.select(F.col("page_id").alias("id"), F.transform(whole, lambda c: F.struct(F.lit(None).cast("string").alias("doi"), c.alias("citation"))).alias("refs"))
+
+
+def _piece_proposals(spark, sf) -> DataFrame:
+    rows = H.migration_proposals(pieces(spark, sf), "text", "citation")
+    return rows.select(F.col("page_id").alias("id"), "pos", F.col("text").alias("current_value"), "proposed_value", "review_required")
+
+
+@query("h2_apply_deterministic", _CITES + """ SELECT page_id AS id, pos, md5(cclean) AS h FROM cit WHERE len(s) > 0 AND crefuse IS NULL AND cclean <> text""")
+def h2(spark, sf):
+    staged, changes, _ = H.apply_hygiene(_piece_lists(spark, sf), _piece_proposals(spark, sf))
+    long = staged.select("id", F.posexplode("refs").alias("pos", "r")).select("id", "pos", F.md5("r.citation").alias("h"))
+    return long.join(changes.select("id", "pos"), ["id", "pos"])
+
+
+@query("h2_violations", _CITES + """ SELECT page_id AS id, pos, CASE WHEN crefuse IS NOT NULL THEN 'review required' ELSE 'no change' END AS problem FROM cit
+    WHERE len(s) > 0 AND (crefuse IS NOT NULL OR (cclean <> text AND pos > 5))""")
+def h2_bad(spark, sf):
+    p = _piece_proposals(spark, sf)
+    dec = p.select("id", "pos", F.when(F.col("review_required") | (F.col("pos") <= 5), "accepted").otherwise("custom").alias("decision"),
+                   F.col("current_value").alias("resolved_value"))
+    return H.apply_hygiene(_piece_lists(spark, sf), p, dec)[2]
+
+
+@query("j10_apply_repairs", """SELECT '10.1/o' || o_orderkey AS doi, CASE WHEN o_orderstatus = 'F' THEN 'stale' ELSE 'ok' END AS status FROM orders WHERE o_orderpriority = '1-URGENT'""")
+def j10(spark, sf):
+    o = V.table(spark, sf, "orders").select(V.doi("10.1/o", "o_orderkey").alias("doi"), F.to_json(F.struct("o_custkey", "o_orderpriority")).alias("payload"), "o_orderstatus", "o_orderpriority")
+    fp = H.evidence_fingerprint(F.col("doi"), F.when(F.col("o_orderstatus") == "F", "{}").otherwise(F.col("payload")))
+    none = F.array().cast("array<string>")
+    rep = o.filter("o_orderpriority = '1-URGENT'").select("doi", fp.alias("fingerprint"), F.array(F.lit("A B")).alias("authors"), none.alias("editors"))
+    ok, stale = H.apply_repairs(o, rep)
+    return ok.select("doi", F.lit("ok").alias("status")).unionByName(stale.select("doi", F.lit("stale").alias("status")))
 
 
 @query("a12_hygiene_report", _VIEW + """ SELECT count(*) AS scanned, count(*) FILTER (trim(text) <> '') AS present, count(*) FILTER (len(f) > 0) AS suspicious,
