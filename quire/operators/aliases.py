@@ -58,7 +58,7 @@ def add_aliases(edges: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]
         "problem",
         F.when(F.col("src") == F.col("target"), "self")
         .when(F.col("known_end").isNotNull() & (F.col("known_end") != F.col("target")), "conflict")
-        .when(F.col("lo") != F.col("hi"), "ambiguous"),
+        .when(F.col("known_end").isNull() & (F.col("lo") != F.col("hi")), "ambiguous"),
     )
     fresh = judged.filter("problem IS NULL AND known_end IS NULL").select(
         "src", F.col("target").alias("dst"), F.lit("superseded").alias("reason")).distinct()
