@@ -22,6 +22,13 @@ def pieces(spark, sf) -> DataFrame:
 
 _TAG = r"<\s*/?\s*[A-Za-z][A-Za-z0-9_.:-]*\b[^<>]*?/?\s*>"
 _TEX = r"\\\(|\\\[|(?:^|[^\\])\$(?:[^\s$\\]|[^\s$][^$\n]*[^\s$\\])\$|\\[A-Za-z]+(?:\s*\{[^{}]*\})?"
+def _decoded(c: str) -> str:
+    """Character references of the page table, the ampersand last so that one level is decoded."""
+    for name, ch in (("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        c = f"replace({c}, '{name}', '{ch}')"
+    return c
+
+
 _VIEW = rf"""WITH cut AS (SELECT page_id, html, regexp_extract_all(html, '{_PIECES}') AS c FROM pages),
   al AS (SELECT page_id, list_concat([html], c, list_transform(c, lambda x: regexp_replace(x, '</?(?:title|h1)>', '', 'g'))) AS l FROM cut),
   piece AS (SELECT page_id, unnest(l) AS text, unnest(range(0, len(l))) AS pos FROM al),
@@ -48,9 +55,8 @@ _VIEW = rf"""WITH cut AS (SELECT page_id, html, regexp_extract_all(html, '{_PIEC
   abs AS (SELECT *, CASE WHEN regexp_matches(text, '(?i)&lt;\s*/?\s*[A-Za-z][A-Za-z0-9_.:-]*\b') THEN 'escaped-markup' WHEN unb THEN 'unbalanced-markup'
       WHEN NOT list_contains(f, 'html-xml-markup') AND NOT contains(text, '<!--') THEN NULL WHEN contains(text, '<!--') THEN 'xml-comment-review'
       WHEN len(list_filter(names, lambda n: n NOT IN ('p', 'italic', 'bold', 'styled-content'))) > 0 THEN 'unsupported-markup' END AS refuse,
-      CASE WHEN list_contains(f, 'html-xml-markup') THEN trim(regexp_replace(replace(regexp_replace(regexp_replace(text, '</?p>', ' ', 'g'),
-        '</?(?:italic|bold|styled-content)>', '', 'g'), '&amp;', '&'), '\s+', ' ', 'g')) ELSE text END AS clean FROM sig),
-  dec AS (SELECT *, replace(text, '&amp;', '&') AS d FROM sig),
+      CASE WHEN list_contains(f, 'html-xml-markup') THEN trim(regexp_replace({_decoded("regexp_replace(regexp_replace(text, '</?p>', ' ', 'g'), '</?(?:italic|bold|styled-content)>', '', 'g')")}, '\s+', ' ', 'g')) ELSE text END AS clean FROM sig),
+  dec AS (SELECT *, {_decoded('text')} AS d FROM sig),
   ttl AS (SELECT *, CASE WHEN unb THEN 'unbalanced-markup' WHEN len(names) = 0 AND NOT contains(d, '<!--') THEN NULL
       WHEN regexp_matches(d, '(?i)[\p{{L}}\p{{N}}]<(?:b|bold|em|i|italic|strong|styled-content)(?:\s[^<>]*)?>(?:<[^<>]*>)*[\p{{L}}\p{{N}}]')
         OR regexp_matches(d, '(?i)[\p{{L}}\p{{N}}](?:<[^<>]*>)*</(?:b|bold|em|i|italic|strong|styled-content)>[\p{{L}}\p{{N}}]') THEN 'ambiguous-inline-boundary'
