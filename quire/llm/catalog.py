@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import decontamination, html_extraction, language_id, ngram_join, sentencepiece, url_filters
+from quire.llm import decontamination, html_extraction, language_id, line_dedup, ngram_join, sentencepiece, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -82,6 +82,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after line deduplication."""
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text"), 256).alias("text_sha256"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict for the URL of every page."""
     return url_filters.url_verdicts(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "via")
@@ -93,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op3_ngram_jaccard_join": op3,
     "op4_html_extraction": op4,
     "op5_language_id": op5,
+    "op6_line_dedup": op6,
     "op7_url_filters": op7,
 }
 
