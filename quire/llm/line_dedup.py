@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quire.functions.staging import stage
 from quire.llm.graph import connected_components
 from quire.llm.joins import bounded, meet
 from quire.session import stored
@@ -79,18 +80,19 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.aggregate(powers, F.lit(0), step)
 
 
-def banded_distance(a: Column, b: Column, edits: int) -> Column:
-    """Edit distance of two strings if it is at most ``edits``, else null.
+def banded_distance(x: Column, y: Column, edits: int) -> Column:
+    """Edit distance of two arrays of characters if it is at most ``edits``, else null.
+
+    ``x`` and ``y`` are plain columns: they are read at every step.
 
     For each number of errors a word of ``2 * edits + 1`` bits holds the diagonals reached so far; one
-    step over a character of ``b`` moves all of them: equal characters and substitutions keep a
+    step over a character of ``y`` moves all of them: equal characters and substitutions keep a
     diagonal, insertions and deletions shift to a neighbour.
     """
     if not 0 <= edits <= 30:
         raise ValueError("the band must fit a 64-bit word")
     width = 2 * edits + 1
     mask = (1 << width) - 1
-    x, y = F.split(a, ""), F.split(b, "")
 
     def shift_in(bits: Column, by: int) -> Column:
         return F.shiftleft(bits, by) if by >= 0 else F.shiftright(bits, -by)
@@ -110,8 +112,8 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
         return F.struct(*[v.alias(f"r{e}") for e, v in enumerate(fresh)])
 
     begin = F.struct(*[F.lit(((1 << (e + 1)) - 1) << edits & mask).cast("long").alias(f"r{e}") for e in range(edits + 1)])
-    steps = F.when(F.length(b) > 0, F.sequence(F.lit(0), F.length(b) - 1)).otherwise(F.array().cast("array<int>"))
-    goal = F.length(a) - F.length(b) + edits
+    steps = F.when(F.size(y) > 0, F.sequence(F.lit(0), F.size(y) - 1)).otherwise(F.array().cast("array<int>"))
+    goal = F.size(x) - F.size(y) + edits
 
     def least(end):
         return F.coalesce(*[F.when(F.call_function("shiftright", end[f"r{e}"], goal).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(e)) for e in range(edits + 1)])
@@ -145,12 +147,12 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     both = (pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b"))
-    # what the lines share at both ends needs no steps
-    cut = both.withColumn("p", common_prefix(F.col("x"), F.col("y")))
-    cut = cut.select("a", "b", F.expr("substring(x, p + 1)").alias("x"), F.expr("substring(y, p + 1)").alias("y"))
-    cut = cut.withColumn("p", common_prefix(F.reverse("x"), F.reverse("y")))
-    cut = cut.select("a", "b", F.expr("left(x, length(x) - p)").alias("x"), F.expr("left(y, length(y) - p)").alias("y"))
-    return cut.select("a", "b", banded_distance(F.col("x"), F.col("y"), edits).alias("distance")).where("distance IS NOT NULL")
+    # what the lines share at both ends needs no steps; each stage is evaluated once
+    cut = stage(both, p=common_prefix(F.col("x"), F.col("y")))
+    cut = stage(cut, u=F.reverse(F.expr("substring(x, p + 1)")), v=F.reverse(F.expr("substring(y, p + 1)")))
+    cut = stage(cut, q=common_prefix(F.col("u"), F.col("v")))
+    cut = stage(cut, s=F.split(F.expr("substring(u, q + 1)"), ""), t=F.split(F.expr("substring(v, q + 1)"), ""))
+    return cut.select("a", "b", banded_distance(F.col("s"), F.col("t"), edits).alias("distance")).where("distance IS NOT NULL")
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
