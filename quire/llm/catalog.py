@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import chat_format, decontamination, html_extraction, language_id, line_dedup, ngram_join, sentencepiece, url_filters
+from quire.llm import chat_format, decontamination, html_extraction, language_id, line_dedup, ngram_join, pii, sentencepiece, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -93,6 +93,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_verdicts(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "via")
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    out = pii.personal_data(_table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return out.select("doc_id", *[count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.BASE)],
+                      F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 #: A conversation that says the template's own marks.
 MARKED = [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
 
@@ -114,6 +122,7 @@ QUERIES: dict[str, Query] = {
     "op5_language_id": op5,
     "op6_line_dedup": op6,
     "op7_url_filters": op7,
+    "op8_pii": op8,
     "op10_chat_formatting": op10,
 }
 
