@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import chat_format, decontamination, html_extraction, language_id, line_dedup, ngram_join, pii, sentencepiece, url_filters
+from quire.llm import chat_format, decontamination, embedding_dedup, html_extraction, language_id, line_dedup, ngram_join, pii, sentencepiece, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -101,6 +101,24 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-equal vectors of one label."""
+    return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT r.node, p.b FROM r JOIN p ON p.a = r.seen)
+SELECT e.vec_id, coalesce(l.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY a) l ON l.a = e.vec_id
+JOIN (SELECT node, min(seen) AS component_id FROM r GROUP BY node) c ON c.node = e.vec_id
+"""
+
+
 #: A conversation that says the template's own marks.
 MARKED = [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
 
@@ -123,6 +141,7 @@ QUERIES: dict[str, Query] = {
     "op6_line_dedup": op6,
     "op7_url_filters": op7,
     "op8_pii": op8,
+    "op9_embedding_near_dedup": op9,
     "op10_chat_formatting": op10,
 }
 
@@ -144,4 +163,4 @@ FROM c GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_formatting": OP10_SQL, "op1_decontamination": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL}
+    return {"op9_embedding_near_dedup": OP9_SQL, "op10_chat_formatting": OP10_SQL, "op1_decontamination": OP1_SQL, "op3_ngram_jaccard_join": OP3_SQL}
