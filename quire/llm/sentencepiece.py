@@ -310,7 +310,9 @@ def _round_trip(model_file: str, with_ids: bool):
                 joined, decoded = own.encode_batch(pc.fill_null(batch.column(at), ""))
                 counts = pc.if_else(pc.equal(joined, ""), 0, pc.add(pc.count_substring(joined, ","), 1)).cast(pa.int64())
                 if with_ids:
-                    ids = pa.array([[int(x) for x in j.as_py().split(",")] if len(j.as_py()) else [] for j in joined], pa.list_(pa.int32()))
+                    flat = pc.split_pattern(joined, ",").flatten()
+                    flat = flat.filter(pc.not_equal(flat, "")).cast(pa.int32())
+                    ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts.to_numpy()))), pa.int32()), flat)
                 else:
                     ids, decoded = _digest(joined), _digest(decoded)
                 names = [n for i, n in enumerate(batch.schema.names) if i != at] + ["n_tokens", "ids", "decoded"]
