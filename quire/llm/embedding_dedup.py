@@ -1,9 +1,9 @@
 """Near-equal embeddings by NN-descent.
 
 Vectors sorted by random hyperplane codes give each a first neighbour list; rounds of local joins
-let the neighbours of a vector, and the neighbours of those that point at it, meet. Lists that are
-full of links are enlarged to their whole component, block by block. Recall is audited against
-brute force on a sample, and further rounds follow while it is too low.
+let the neighbours of a vector, and the neighbours of those that point at it, meet. Recall is audited against
+brute force on a sample, and further rounds follow while it is too low. Short lists cannot hold the
+links of a large group, so in the end each list is enlarged to its component, block by block.
 """
 
 from __future__ import annotations
@@ -170,7 +170,7 @@ def neighbour_graph(vectors: DataFrame, threshold: float = THRESHOLD, neighbours
     lists = stored(_lists(first(0), neighbours), "lists")
     turn, recall = 0, 0.0
     while True:
-        more = _local_join(vectors, lists, 4)
+        more = _local_join(vectors, lists, neighbours)
         if turn >= rounds:
             more = more.unionByName(first(turn))
         lists = stored(_lists(_flat(lists).unionByName(more), neighbours), "lists")
@@ -227,15 +227,10 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, neighbours
     rows = rows.withColumn("cid", F.when(usable(F.col("embedding"), F.col("label")) & F.col("vec_id").isNotNull(), F.xxhash64("label", "embedding")))
     vectors = rows.where("cid IS NOT NULL").groupBy("cid", "label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     vectors = stored(vectors.withColumn("dim", F.size("embedding")), "vectors")
-    links, saturated, _ = neighbour_graph(vectors.select("cid", "label", "dim", "embedding"), threshold, neighbours)
+    links, _, _ = neighbour_graph(vectors.select("cid", "label", "dim", "embedding"), threshold, neighbours)
     pairs = stored(links.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "pairs")
     parts = stored(connected_components(pairs).withColumnRenamed("node", "cid"), "parts")
-    full = parts.join(saturated.withColumnRenamed("u", "cid"), "cid").select("component").distinct()
-    wide = stored(parts.join(full, "component"), "wide")
-    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumnRenamed("a", "cid")
-    narrow = (ends.join(wide, "cid", "left_anti").join(vectors.select(F.col("cid").alias("b"), "weight"), "b")
-              .groupBy("cid").agg(F.sum("weight").alias("n")))
-    degrees = narrow.unionByName(_degrees_in_full(vectors, wide, threshold))
+    degrees = _degrees_in_full(vectors, parts, threshold)
     named = vectors.select("cid", "rep", "weight").join(parts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
     final = named.join(least, "component").join(degrees, "cid", "left").select(

@@ -1,0 +1,182 @@
+"""URL filters, personal data, embeddings and chat formatting."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from quire.llm import chat_format as C, embedding_dedup as V, pii as P, url_filters as U
+from quire.llm.catalog import MARKED, URL_RULES, queries
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def test_url_rules(spark):
+    cases = [
+        ("http://a.COM/x?y", "a.com", "/x", "com/", "allow"), ("https://www.example.com/en/1#t", "www.example.com", "/en/1", "www.example.com/en/", "allow"),
+        ("https://m.example.com/en/1", "m.example.com", "/en/1", "example.com/en/", "block"), ("https://www.example.com", "www.example.com", "", None, "allow"),
+        ("ftp://x.net/es/a", "x.net", "/es/a", "net/es/", "block"), ("http://x.net/ES/a", "x.net", "/ES/a", None, "allow"), ("http://planet/es/", "planet", "/es/", None, "allow"),
+        ("http://net/fr/", "net", "/fr/", "net/fr/", "block"), (None, "", "", None, "allow"), ("no scheme", "", "", None, "allow"), ("", "", "", None, "allow"),
+        ("x://?q://y.net/es/", "", "", None, "allow"), ("a://b\nc.net/es/", "b\nc.net", "/es/", "net/es/", "block"), ("http://x.org:80/p", "x.org:80", "/p", None, "allow")]
+    rows = [(k, c[0], None, "mine") for k, c in enumerate(cases)] + [(0, cases[0][0], None, "mine")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, Rule string")
+    got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in U.url_verdicts(pages, URL_RULES).collect()}
+    assert got == {k: c[1:] for k, c in enumerate(cases)}
+    assert U.url_verdicts(pages, URL_RULES).count() == len(rows)
+    assert U.url_verdicts(pages.limit(0), URL_RULES).count() == 0
+    assert {x.verdict for x in U.url_verdicts(pages, []).collect()} == {"allow"}
+
+
+def test_url_aliases(spark):
+    canonical = '<html><head><LINK class="x" rel="canonical" href="http://bad.net/es/1"></head>'
+    refresh = "<meta http-equiv=refresh content='0; url=http://one.org/a'>"
+    rows = [(1, "http://one.org/a", canonical), (2, "http://two.org/b", refresh), (3, "http://bad.net/es/1", ""), (4, "http://three.org/c", '<link href="http://ok.com/" rel=canonical>'),
+            (5, "http://two.org/b#part", None), (6, "http://good.com/x", '<link rel="canonical" href="http://bad.net/es/1">'), (7, "http://alone.org/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x.page_id: (x.verdict, x.via) for x in U.url_verdicts(pages.where("page_id <> 6"), URL_RULES).collect()}
+    assert got == {1: ("block", "alias"), 2: ("block", "alias"), 3: ("block", "rule"), 4: ("allow", "alias"), 5: ("block", "alias"), 7: ("allow", "default")}
+    got = {x.page_id: x.verdict for x in U.url_verdicts(pages, URL_RULES).collect()}
+    assert got == {1: "allow", 2: "allow", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow"}  # an explicit allow comes first
+    more = spark.createDataFrame([("http://alone.org/", "http://bad.net/fr/")], "a string, b string")
+    assert U.url_verdicts(pages.where("page_id = 7"), URL_RULES, more).first().verdict == "block"
+
+
+def brute_spans(t):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):
+        out.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        if 12 <= len(d) <= 19 and sum((2 * x - 9 if x > 4 else 2 * x) if i % 2 else x for i, x in enumerate(reversed(d))) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t):
+        if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+def test_base_spans(spark):
+    r = random.Random(4)
+    parts = ["a@b.c", "x.y+z@mail-1.example.com", "@", "a@b", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 123-4567", "+1", "é😀", " ", "_",
+             "4532015112830366", "..", "-", "+", "007.08.9.10", "\n", "word"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(600)] + ["a@b.c_d@e.f", "x@y@z.com", "9" * 3000, "a" * 3000 + "@", "1 " * 2000, None, ""]
+    docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, base int")
+    got = {x.doc_id: [(s.start, s.kind, s.end) for s in x.base] for x in P.personal_data(docs).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == brute_spans(t or ""), t
+
+
+def test_further_spans(spark):
+    rows = [(k, f"the password=ab{k}cd99e8f71a2b3 of") for k in range(30)] + [(50, "see page 12-345-678 there"), (51, 'token = "0aa1bb2cc3dd4ee5ff60718293"'), (52, "no data 12 here"), (53, None), (52, "no data 12 here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = P.personal_data(docs).select("doc_id", P.written(F.col("spans")).alias("s"), "base").collect()
+    named = {x.doc_id: x.s for x in out}
+    assert len(out) == len(rows) and named[3].startswith("secret:4:") and named[51].startswith("secret:0:") and named[52] == named[53] == ""
+    whole = spark.createDataFrame([("mail a@b.de or 1.2.3.4!",)], "text string").selectExpr("1 AS doc_id", "text")
+    found = P.personal_data(whole).join(whole, "doc_id")
+    assert found.select(P.masked(F.col("text"), F.col("base"))).first()[0] == "mail <email> or <ip>!"
+    assert P.personal_data(docs.limit(0)).count() == 0
+
+
+def brute_vectors(rows):
+    good = [(k, np.array(e, dtype=np.float32).astype(float), lab) for k, (i, e, lab) in enumerate(rows)
+            if i is not None and lab is not None and e and all(x is not None and np.isfinite(x) for x in e) and any(e)]
+    root, links = list(range(len(rows))), [0] * len(rows)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for i, (a, x, la) in enumerate(good):
+        for b, y, lb in good[:i]:
+            if la == lb and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.98:
+                links[a] += 1
+                links[b] += 1
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    return sorted((str(i), links[k], str(least.get(find(k))), i == least.get(find(k))) for k, (i, _, _) in enumerate(rows))
+
+
+def test_near_vectors(spark):
+    r = np.random.default_rng(3)
+    centre = r.standard_normal((20, 16))
+    rows = []
+    for k in range(240):
+        x = centre[k % 20] if k % 3 else r.standard_normal(16)
+        rows.append((int(k * 2 + 5), [float(v) for v in x + r.standard_normal(16) * (0.02 if k % 3 else 0)], int(k % 20 % 3)))
+    tight = r.standard_normal(16)
+    rows += [(1000 + k, [float(v) for v in tight + r.standard_normal(16) * 0.03], 1) for k in range(400)]
+    rows += [(2000, rows[1][1], rows[1][2]), (2000, rows[1][1], rows[1][2]), (2001, rows[1][1], 9), (2002, None, 1), (2003, [], 1), (2004, [0.0] * 16, 1), (2005, [None] + [1.0] * 15, 1),
+             (2006, [float("nan")] * 16, 1), (2007, [1.0, 2.0], 1), (2008, [2.0, 4.0], 1), (None, rows[1][1], rows[1][2]), (2009, rows[1][1], None), (2010, [float("inf")] * 16, 1)]
+    df = spark.createDataFrame([(*x, "c") for x in rows], "vec_id long, embedding array<float>, label int, cid string")
+    got = sorted((str(x.vec_id), x.n_links, str(x.component_id), x.kept) for x in V.near_vectors(df).collect())
+    want = [(i, n, c, k if i != "None" else True) for i, n, c, k in brute_vectors(rows)]
+    assert got == sorted(want)
+
+
+def test_near_vectors_empty(spark):
+    assert V.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_escapes():
+    r = random.Random(8)
+    for _ in range(2000):
+        t = "".join(r.choice(["<|", "im_end|>", "\\", "n", "\n", "|", "<", "é", "x"]) for _ in range(r.randint(0, 9)))
+        assert C.unescape(C.escape(t)) == t and "<|" not in C.escape(t)
+        assert C.parse_turn(C.format_turn(t, t)) == (t, t)
+
+
+def test_chat_tree(spark):
+    r = random.Random(7)
+    turns = [(role, t) for role in ("user", "assistant", "system", None, "user\n<|x") for t in ("hi", "", None, "<|im_end|>\\<|", "é😀 two\nlines", "w " * 300)]
+    rows = []
+    for c in range(40):
+        prefix = [turns[(c % 4) * 3], turns[6 + c % 2]]
+        rows += [(c, k, *t) for k, t in enumerate(prefix + [r.choice(turns) for _ in range(r.randint(0, 4))])]
+    rows += [(41, 0, *turns[0]), (41, 0, *turns[0]), (41, None, "user", "first"), (42, 0, *turns[0]), (None, 1, "assistant", "x"), *MARKED]
+    frame = spark.createDataFrame([(*x, 1) for x in rows], "conv_id long, turn long, role string, text string, k int")
+    runs, nodes, members = C.build_tree(frame, *VOCABULARY)
+    want = {}
+    for c in {x[0] for x in rows}:
+        own = sorted(((t if t is not None else -1, role or "", text or "") for i, t, role, text in rows if i == c))
+        want[c] = [(role, text) for _, role, text in own]
+    got = {x.conv_id: x for x in C.conversation_digests(C.read_back(runs, nodes, members, *VOCABULARY)).collect()}
+    assert set(got) == set(want)
+    for c, own in want.items():
+        said, loss = "".join(f"{a}\n{b}\n" for a, b in own), "".join(b for a, b in own if a == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(own), hashlib.sha256(said.encode()).hexdigest())
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert got[c].formatted_chars == sum(len(C.format_turn(a, b)) for a, b in own)
+    # each prefix once; runs follow each other; ancestors and positions lead back to the conversation
+    stream, spot = {}, {bytes(n.node): n for n in nodes.collect()}
+    assert len(spot) == len({tuple(own[:k + 1]) for own in want.values() for k in range(len(own))})
+    at = 0
+    for x in sorted(runs.collect(), key=lambda x: x.start):
+        assert x.start == at and x.position == sum(i.end - i.begin for i in x.ancestors) and all(i.end <= x.start for i in x.ancestors)
+        stream.update(zip(range(at, at + x.n_tokens), x.tokens))
+        at += x.n_tokens
+    coder = C.Tokens(*VOCABULARY)
+    by_run = {x.run: x for x in runs.collect()}
+    for c, own in want.items():
+        path = [spot[bytes(m.node)] for m in members.where(F.col("conv_id").eqNullSafe(F.lit(c))).orderBy("k").collect()]
+        last = by_run[path[-1].run]
+        seen = [i for a in last.ancestors for i in range(a.begin, a.end)] + list(range(last.start, path[-1].begin + path[-1].size))
+        if path[-1].run == last.run and len(own) == path[-1].depth + 1:
+            assert coder.text([stream[i] for i in seen]) == "".join(C.format_turn(a, b) for a, b in own)
+    assert C.build_tree(frame.limit(0), *VOCABULARY)[0].count() == 0
+
+
+@pytest.mark.parametrize("name", ["op4_html_extraction", "op7_url_filters", "op8_pii"])
+def test_registered_rows(spark, sf, name):
+    table = {"op8_pii": "documents"}.get(name, "pages")
+    assert queries()[name](spark, sf).count() == spark.read.parquet(f"{sf}/{table}.parquet").count()
