@@ -16,7 +16,7 @@ def keepable(status):
 
 def fresh_responses(events: DataFrame, now, ttl_seconds: float) -> DataFrame:
     """Newest kept payload per request key that is younger than the lifetime."""
-    age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("ts")
+    age = F.lit(now).cast("timestamp").cast("double") - F.col("ts").cast("timestamp").cast("double")
     rows = events.filter(keepable("status")).filter(F.greatest(age, F.lit(0)) < ttl_seconds)
     return rows.groupBy("key").agg(F.max("ts").alias("ts"), F.max_by("payload", F.struct("ts", "payload")).alias("payload"))
 

@@ -73,10 +73,11 @@ def author_index(pages: DataFrame) -> DataFrame:
     return out.select("slug", "name", "key", "letter", "starts_letter")
 
 
-def ranked_members(members: DataFrame, key: str, limit: int) -> DataFrame:
-    """Newest ``limit`` publications of every page; the rank filter limits each task."""
+def ranked_members(members: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """Ordered publications of every page, newest first; with ``limit`` the newest ones alone, cut in each task."""
     w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in _NEWEST])
-    return members.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select(key, "rank", "id")
+    ranked = members.withColumn("rank", F.row_number().over(w))
+    return (ranked if limit is None else ranked.filter(F.col("rank") <= limit)).select(key, "rank", "id")
 
 
 def file_coverage(pubs: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -194,9 +194,9 @@ def a14_years(spark, sf):
     return S.year_pages(S.memberships(site_pubs(spark, sf), site_mapping(spark, sf))[1])
 
 
-@query("a14_newest_members", _SITE + """ SELECT y AS year, rank, id FROM (SELECT y, id, row_number() OVER (PARTITION BY y ORDER BY d DESC NULLS LAST, c_name DESC, title DESC, permalink DESC) AS rank FROM p) WHERE rank <= 10""")
+@query("a14_newest_members", _SITE + """ SELECT y AS year, rank, id FROM (SELECT y, id, row_number() OVER (PARTITION BY y ORDER BY d DESC NULLS LAST, c_name DESC, title DESC, permalink DESC) AS rank FROM p)""")
 def a14_newest(spark, sf):
-    return S.ranked_members(S.memberships(site_pubs(spark, sf), site_mapping(spark, sf))[1], "year", 10)
+    return S.ranked_members(S.memberships(site_pubs(spark, sf), site_mapping(spark, sf))[1], "year")
 
 
 @query("t6_order_publications", _SITE + " SELECT id, permalink FROM p")

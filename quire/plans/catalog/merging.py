@@ -244,10 +244,10 @@ def j4(spark, sf):
 
 
 @query("j22_possible_duplicates", """WITH n AS (SELECT * FROM part WHERE p_size > 40), c AS (SELECT * FROM part WHERE p_size <= 10)
-    SELECT DISTINCT n.p_partkey AS new_id, c.p_partkey AS canonical_id, 'title and year' AS reason FROM n JOIN c
-      ON lower(n.p_name || n.p_brand) = lower(c.p_name || c.p_brand) AND n.p_type = c.p_type
-    UNION ALL SELECT DISTINCT n.p_partkey, c.p_partkey, 'identifier:price:' || n.p_brand || n.p_type || n.p_name FROM n JOIN c
-      ON n.p_brand || n.p_type || n.p_name = c.p_brand || c.p_type || c.p_name""")
+    SELECT n.p_partkey AS new_id, min(c.p_partkey) AS canonical_id, 'title and year' AS reason, count(*) AS alike FROM n JOIN c
+      ON lower(n.p_name || n.p_brand) = lower(c.p_name || c.p_brand) AND n.p_type = c.p_type GROUP BY n.p_partkey
+    UNION ALL SELECT n.p_partkey, min(c.p_partkey), 'identifier:price:' || n.p_brand || n.p_type || n.p_name, count(*) FROM n JOIN c
+      ON n.p_brand || n.p_type || n.p_name = c.p_brand || c.p_type || c.p_name GROUP BY n.p_partkey, n.p_brand, n.p_type, n.p_name""")
 def j22(spark, sf):
     p = V.table(spark, sf, "part").select(
         F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" #"), "p_brand").alias("title"), F.col("p_type").alias("publication_year"),

@@ -171,9 +171,10 @@ def j11(spark, sf):
 
 
 @query("j12_canonical_fallback", _S + """, e AS (SELECT id, lang, unnest(s) AS c, unnest(range(1, n + 1)) AS pos FROM n)
-    SELECT id, pos, CASE WHEN length(c) > 60 THEN md5(c) ELSE md5('') END AS h FROM e WHERE lang <> 'es' UNION ALL SELECT id, n + 1, md5('') FROM n WHERE lang = 'de'""")
+    SELECT id, pos, CASE WHEN length(c) > 60 THEN md5(c) ELSE md5('') END AS h FROM e WHERE lang <> 'es' UNION ALL SELECT id, n + 1, md5('') FROM n WHERE lang = 'de'
+    UNION ALL SELECT id, i, CASE WHEN length(s[i]) > 60 AND s[i] = s[i + 1] THEN md5(s[i]) ELSE md5('') END FROM (SELECT id, s, unnest(range(1, n)) AS i FROM n WHERE lang = 'es' AND n > 1)""")
 def j12(spark, sf):
-    d = lists(spark, sf).filter("lang <> 'es'")
+    d = lists(spark, sf)
     d = d.withColumn("prov", F.transform("prov", lambda r: r.withField("citation", F.lit(" "))))
     out = R.canonical_fallback(d).select("id", F.posexplode_outer("prov").alias("p", "r")).filter("r IS NOT NULL")
     return out.select("id", (F.col("p") + 1).alias("pos"), F.md5(F.btrim("r.citation")).alias("h"))

@@ -193,3 +193,66 @@ def test_next_batch_prefers_pending(spark):
     items = spark.createDataFrame([("a", 0, "retryable", 1, ""), ("b", 1, "pending", 0, ""), ("c", 2, "pending", 0, "")], "key string, ord int, state string, attempts int, detail string")
     assert rows(L.next_batch(items, 1), "key") == [("b",)]
     assert rows(L.next_batch(items.filter("state <> 'pending'"), 5), "key", "attempts") == [("a", 2)]
+
+
+def test_merge_links_rows_of_one_batch(spark):
+    """Ids and DOIs stated together are one record, also through other rows; no id or DOI comes out twice."""
+    old = spark.createDataFrame([("a", "10.1/b", 0, "A"), ("k", "10.1/k", 1, "K"), ("m", "10.1/m", 2, "M")], PUBS)
+    new = spark.createDataFrame([
+        ("x", "10.1/n", 0, "X1"), ("x", None, 1, "X2"),          # one id with and without a DOI
+        ("a", "10.1/b", 2, "A2"), ("q", "10.1/b", 3, "Q"),       # a second id for a canonical DOI
+        ("y", "10.1/y1", 4, "Y1"), ("y", "10.1/y2", 5, "Y2"), ("z", "10.1/y2", 6, "Z"),
+        ("k", "10.1/l", 7, "L"), ("l", "10.1/l", 8, "L2"), ("l", "10.1/m", 9, "L3")], PUBS)  # ties k and m together
+    merged, log = MG.merge(old, new)
+    got = rows(merged, "id", "doi", "title", "side")
+    assert got == [("a", "10.1/b", "Q", 0), ("k", "10.1/k", "K", 0), ("m", "10.1/m", "M", 0), ("x", "10.1/n", "X2", 1), ("y", "10.1/y2", "Z", 1)]
+    assert rows(MG.quarantined(old, new), "title") == [("L",), ("L2",), ("L3",)]
+    assert rows(log) == [("a", "updated"), ("x", "added"), ("y", "added")]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_merge_against_union_find(spark, seed):
+    rng = random.Random(seed)
+    old = [(f"c{k}", f"10.1/{k}", k, f"o{k}") for k in range(8)]
+    new = [(rng.choice([f"c{k}" for k in range(8)] + [f"n{k}" for k in range(10)]), rng.choice([None] * 3 + [f"10.1/{k}" for k in range(16)]), k, f"t{k}") for k in range(14)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+    for i, d, _, _ in old + new:
+        if d:
+            root[find("i" + i)] = find("d" + d)
+    owners = {}
+    for i, _, _, _ in old:
+        owners.setdefault(find("i" + i), []).append(i)
+    batch = {}
+    for r in new:
+        batch.setdefault(find("i" + r[0]), []).append(r)
+    merged = {r["id"]: r["title"] for r in MG.merge(spark.createDataFrame(old, PUBS), spark.createDataFrame(new, PUBS))[0].collect()}
+    want = {i: t for i, _, _, t in old}
+    for g, own in batch.items():
+        if len(owners.get(g, [])) <= 1:
+            want[owners[g][0] if g in owners else own[0][0]] = own[-1][3]
+    assert merged == want
+
+
+def test_common_title_gives_one_warning(spark):
+    kind = "id long, permalink string, title string, publication_year string, identifiers map<string,string>"
+    known = spark.createDataFrame([(k, f"p{k}", "Editorial", "2020", {"isbn": "1"}) for k in range(40)], kind)
+    new = spark.createDataFrame([(100 + k, f"n{k}", "Editorial!", "2020", {"isbn": "1"}) for k in range(30)], kind)
+    warnings, _ = MG.possible_duplicates(new, known)
+    assert warnings.count() == 60 and {(r["canonical_id"], r["alike"]) for r in warnings.collect()} == {(0, 40)}
+
+
+def test_apply_contributors(spark):
+    from quire.operators import decisions as D
+    people = "array<struct<given:string,family:string,literal:string,role:string>>"
+    pubs = spark.createDataFrame([("1", "T", [("Ann", "Lee", None, "x"), (None, None, "Bo", "y")], ["a"]), ("2", "U", [], ["b"])], f"id string, title string, authors {people}, keywords array<string>")
+    current = spark.createDataFrame([("1", "authors", ["Ann Lee", "Bo"]), ("1", "keywords", ["a"]), ("2", "authors", [])], "publication_id string, field string, value array<string>")
+    cands = spark.createDataFrame([("k1", "1", "authors", ["Ann Lee", "Bo"]), ("k2", "1", "keywords", ["a"]), ("k3", "2", "authors", [])], "key string, publication_id string, field string, current_value array<string>")
+    decisions = spark.createDataFrame([("k1", "accepted", ["Bo", "Cy Dee", "Ann Lee"]), ("k2", "custom", ["p", "q"]), ("k3", "accepted", ["Eva"])], "key string, decision string, resolved_value array<string>")
+    staged = {r["id"]: r for r in D.apply_decisions(pubs, current, cands, decisions, ["authors", "keywords"])[0].collect()}
+    assert [tuple(a) for a in staged["1"]["authors"]] == [(None, None, "Bo", "y"), (None, None, "Cy Dee", None), ("Ann", "Lee", None, "x")]
+    assert staged["1"]["keywords"] == ["p", "q"] and [a["literal"] for a in staged["2"]["authors"]] == ["Eva"]
