@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quire.functions.identity import fingerprint
 from quire.functions.markup import is_institution_like
 from quire.functions.staging import stage
-from quire.functions.text import casefold, is_safe_component, slugify, strip, to_ascii
+from quire.functions.text import casefold, is_safe_component, slugify, strip, romanised, to_ascii
 
 
 def mapping_errors(mapping: DataFrame) -> DataFrame:
@@ -20,9 +20,9 @@ def mapping_errors(mapping: DataFrame) -> DataFrame:
 
 
 def name_signature(c) -> Column:
-    """Surname and first initial, taken from the slug."""
-    words = F.split(slugify(c), "-")
-    return F.concat_ws("|", F.element_at(words, -1), F.substring(F.get(words, F.lit(0)), 1, 1))
+    """Surname and first initial, taken from the slug; null, and so no join key, for a name without one."""
+    words = F.split(F.nullif(slugify(c), F.lit("")), "-")
+    return F.concat(F.element_at(words, -1), F.lit("|"), F.substring(F.get(words, F.lit(0)), 1, 1))
 
 
 def occurrences(pubs: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def occurrences(pubs: DataFrame) -> DataFrame:
 def unknown_names(pubs: DataFrame, mapping: DataFrame) -> DataFrame:
     """Names without an identity, with their count and sort key (last word, name)."""
     gone = occurrences(pubs).join(mapping.select("name"), "name", "left_anti")
-    return gone.withColumn("sort_word", to_ascii(F.element_at(F.split("name", r"\s+"), -1)))
+    return gone.withColumn("sort_word", romanised(F.element_at(F.split("name", r"\s+"), -1)))
 
 
 def ordered_unknown_names(pubs: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -53,9 +53,11 @@ def possible_matches(names: DataFrame, mapping: DataFrame) -> DataFrame:
 def plan_authors(pubs: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(safe, review)``: new identities without doubt, and proposals with reasons.
 
-    A proposal is one slug with all unknown names that produce it.
+    A proposal is one slug with all unknown names that produce it; a name without a slug is a
+    proposal of its own and never an identity.
     """
-    unknown = unknown_names(pubs, mapping).select("name", "n", "sort_word", slugify("name").alias("slug"))
+    named = unknown_names(pubs, mapping).select("name", "n", "sort_word", slugify("name").alias("slug"))
+    unknown, blank = named.filter("slug <> ''"), named.filter("slug = ''")
     grouped = unknown.groupBy("slug").agg(
         F.min(F.struct("sort_word", "name")).alias("head"), F.count("*").alias("names"), F.sum("n").alias("occurrences"))
     heads = grouped.select("slug", "names", "occurrences", F.col("head.name").alias("name"), name_signature("head.name").alias("sig"))
@@ -68,7 +70,8 @@ def plan_authors(pubs: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFr
     rows = rows.withColumn("reasons", reasons)
     return (
         rows.filter(F.size("reasons") == 0).select("slug", "name", "occurrences"),
-        rows.filter(F.size("reasons") > 0).select("slug", "name", "names", "occurrences", "reasons"),
+        rows.filter(F.size("reasons") > 0).select("slug", "name", "names", "occurrences", "reasons").unionByName(
+            blank.select("slug", "name", F.lit(1).cast("long").alias("names"), F.col("n").alias("occurrences"), F.array(F.lit("no slug")).alias("reasons"))),
     )
 
 

@@ -100,3 +100,24 @@ def test_phrase_rules(spark):
 def test_identifier_map_last_key_wins(spark):
     df = spark.sql("SELECT map('DOI', '10.1/A', ' doi ', '10.1/B') AS m, map('id', 'x') AS bad")
     assert df.select(I.norm_identifiers("m"), I.norm_identifiers("bad")).first()[:] == ({"doi": "10.1/b"}, None)
+
+
+def test_slugs_of_any_script(spark):
+    from quire.functions import text as T
+    from quire.operators.authors import name_signature, plan_authors
+    cases = {"Nguyễn Văn": "nguyen-van", "Иванов Петр": "ivanov-petr", "Joséphine Müller": "josephine-muller", "Παπαδόπουλος Νίκος": "papadopoulos-nikos",
+             "王 小": "u738b-u5c0f", "さくら": "sakura", "한 글": "han-geul", "Łukasz Øster": "lukasz-oster", "***": "", "Щука Юрій": "shchuka-iurii"}
+    rows = spark.createDataFrame([(k,) for k in cases], "name string").select("name", T.slugify("name").alias("slug"), name_signature("name").alias("sig")).collect()
+    got = {r["name"]: r["slug"] for r in rows}
+    assert {k: v for k, v in got.items() if k != "한 글"} == {k: v for k, v in cases.items() if k != "한 글"} and got["한 글"].startswith("h")
+    assert {r["name"]: r["sig"] for r in rows}["***"] is None
+    pubs = spark.createDataFrame([("1", ["***", "+++", "Иванов Петр"])], "id string, authors array<string>")
+    safe, review = plan_authors(pubs, spark.createDataFrame([], "slug string, name string"))
+    assert [r["slug"] for r in safe.collect()] == ["ivanov-petr"] and sorted(r["name"] for r in review.collect()) == ["***", "+++"]
+
+
+def test_name_tokens_of_any_script(spark):
+    from quire.functions.names import name_tokens, names_compatible
+    row = spark.createDataFrame([("Joséphine Dü", "Иванов Петр", "Nguyễn Văn", "Nguyen Van")], "a string, b string, c string, d string").select(
+        name_tokens("a").alias("a"), name_tokens("b").alias("b"), names_compatible("c", "d").alias("same"), names_compatible("b", "d").alias("other")).first()
+    assert row["a"] == ["josephine", "du"] and row["b"] == ["иванов", "петр"] and row["same"] and not row["other"]
