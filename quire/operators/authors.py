@@ -261,8 +261,9 @@ def allocate_slugs(titles: DataFrame, used: DataFrame) -> DataFrame:
     crowd = rows.filter("n > 1").withColumn("taken", F.coalesce("taken", none)).withColumn("k", rank)
     natural = crowd.groupBy("root").agg(F.count_distinct("zeros").alias("levels"))
     crowd = crowd.join(natural, "root")
-    span = F.sequence(F.col("zeros"), F.col("zeros") + F.size("taken") + F.col("k") - 1)
-    nth = F.get(F.filter(span, lambda z: ~F.array_contains("taken", z)), F.col("k") - 1)
+    # the k-th free number from the own one: each used number at or below the place reached moves it by one
+    used_above = F.filter("taken", lambda t: t >= F.col("zeros"))
+    nth = F.aggregate(used_above, F.col("zeros") + F.col("k") - 1, lambda z, t: F.when(t <= z, z + 1).otherwise(z))
     plain = crowd.filter("levels = 1").select("id", F.concat("root", F.repeat(F.lit("0"), nth)).alias("slug"))
     mixed = crowd.filter("levels > 1").groupBy("root").applyInPandas(_settle, "id string, slug string")
     return single.select(F.col("id").cast("string").alias("id"), "slug").unionByName(

@@ -232,8 +232,11 @@ def pair_regex(a, b) -> Column:
 
 
 def pair_signals(labeled: DataFrame, limit: int = 20, pool_size: int = 80, min_gain: float = 0.10,
-                 counts: DataFrame | None = None) -> DataFrame:
-    """Two-phrase rules that predict better than either phrase alone.
+                 counts: DataFrame | None = None, preselected: int | None = None) -> DataFrame:
+    """Two-phrase rules that predict better than either phrase alone: the ``limit`` best of each direction.
+
+    The final order applies to the ``preselected`` pairs that lead by the review figures alone, five
+    times the limit and at least 50 where it is not given.
 
     The pool holds at most ``pool_size`` phrases; it is written once to the checkpoint folder,
     because it is read three times, and enters each row as one array through a scalar subquery. A row
@@ -301,7 +304,7 @@ def pair_signals(labeled: DataFrame, limit: int = 20, pool_size: int = 80, min_g
     final = Window.partitionBy("direction").orderBy(
         *[F.desc(c) for c in lead + ["wilson_lower", "support", "first", "second"]])
     return (
-        out.withColumn("_cut", F.row_number().over(first_cut)).filter(F.col("_cut") <= max(limit * 5, 50))
+        out.withColumn("_cut", F.row_number().over(first_cut)).filter(F.col("_cut") <= (preselected or max(limit * 5, 50)))
         .withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= limit)
         .withColumn("regex", pair_regex("first", "second"))
         .select(

@@ -18,6 +18,8 @@ def screen_stream(stream: DataFrame, known: DataFrame, accept: list[str], reject
     """Outcome of each key when it first arrives; ``stream``: doi, ts, text.
 
     State is one entry per key and leaves it with the watermark; known keys are dropped first.
+    Rows that come more than ``delay`` behind the newest one are lost: choose it above the longest
+    delay of the source, or screen those rows with the batch form.
     """
     fresh = stream.withWatermark("ts", delay).join(known.select("doi"), "doi", "left_anti").dropDuplicatesWithinWatermark(["doi"])
     rows = fresh.withColumn("accept_matches", match_rules("text", accept)).withColumn("reject_matches", match_rules("text", reject))
@@ -75,9 +77,14 @@ class NewestResponse(StatefulProcessor):
         pass
 
 
-def fresh_responses_stream(stream: DataFrame, ttl_seconds: int) -> DataFrame:
-    """Newest kept payload per request key; state expires after the lifetime."""
-    rows = stream.filter(keepable("status")).select("key", "ts", "payload")
+def fresh_responses_stream(stream: DataFrame, ttl_seconds: int, now=None) -> DataFrame:
+    """Newest kept payload per request key that is younger than the lifetime; state expires after it.
+
+    ``now`` fixes the time of a replay; without it each batch takes its own.
+    """
+    clock = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+    age = clock.cast("double") - F.col("ts").cast("timestamp").cast("double")
+    rows = stream.filter(keepable("status")).filter(F.greatest(age, F.lit(0.0)) < ttl_seconds).select("key", "ts", "payload")
     return rows.groupBy("key").transformWithStateInPandas(
         NewestResponse(ttl_seconds * 1000), "key string, ts timestamp, payload string", "Update", "ProcessingTime")
 
