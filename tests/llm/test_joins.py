@@ -1,5 +1,6 @@
 """Decontamination, n-gram join and line deduplication against brute force."""
 
+from collections import Counter
 import random
 import re
 
@@ -165,6 +166,7 @@ def test_near_lines(spark, edits):
 def brute_lines(docs, edits, min_chars):
     places = [(d, k, x) for d, t in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0)) if t is not None for k, x in enumerate(t.split("\n")) if len(x) >= min_chars]
     lines = sorted({x for _, _, x in places})
+    bag = {x: Counter(x) for x in lines}
     root = {x: x for x in lines}
 
     def find(x):
@@ -173,7 +175,7 @@ def brute_lines(docs, edits, min_chars):
         return x
     for i, a in enumerate(lines):
         for b in lines[i + 1:]:
-            if abs(len(a) - len(b)) <= edits and levenshtein(a, b) <= edits:
+            if abs(len(a) - len(b)) <= edits and sum(((bag[a] - bag[b]) + (bag[b] - bag[a])).values()) <= 2 * edits and levenshtein(a, b) <= edits:
                 root[find(a)] = find(b)
     first = {}
     for d, k, x in places:
