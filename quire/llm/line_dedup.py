@@ -21,8 +21,9 @@ EDITS = 2
 #: Shorter lines are left alone: a few edits would change what they say.
 MIN_CHARS = 40
 BROADCAST_ROWS = 500_000
-#: Letters whose counts are compared before verification (fixed values); an edit changes them by 2 in total at most.
-COUNTED = "aeionrst"
+#: Letters, and groups of rarer ones, whose counts are compared before verification (fixed values); an edit changes
+#: them by 2 in total at most.
+COUNTED = [*"aeionrsthdlgcmbu", "wf", "pv", "ky", "jqxz"]
 
 
 def line_key(line: Column) -> Column:
@@ -32,7 +33,8 @@ def line_key(line: Column) -> Column:
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     """``doc_id, h, line_no, line, size`` of every line that is long enough; ``h`` is a hash of the text."""
-    rows = docs.select("doc_id", F.hash("text").alias("h"), F.posexplode(F.split(F.col("text"), "\n")).alias("line_no", "line"))
+    cut = stage(docs.select("doc_id", F.hash("text").alias("h"), "text"), _lines=F.split(F.col("text"), "\n")).drop("text")
+    rows = cut.select("doc_id", "h", F.posexplode("_lines").alias("line_no", "line"))
     return rows.withColumn("size", F.length("line")).where(F.col("size") >= min_chars)
 
 
@@ -130,7 +132,8 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     variants of one line that differ too much do not become rows.
     """
     posted = lines_of(docs, min_chars).select(line_key(F.col("line")).alias("id"), "size", "line")
-    entries = posted.select("id", "size", "line", F.explode(segment_keys(F.col("line"), F.col("size"), edits)).alias("e"))
+    keyed = stage(posted, keys=segment_keys(F.col("line"), F.col("size"), edits))
+    entries = keyed.select("id", "size", "line", F.explode("keys").alias("e"))
     entries = entries.select(F.col("e.key").alias("key"), F.col("e.probe").alias("probe"), "id", "size", "line")
     shared = (entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("probe").alias("indexed"))
               .where("lo <> hi AND NOT indexed").select("key"))
