@@ -38,37 +38,35 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     return rows.withColumn("size", F.length("line")).where(F.col("size") >= min_chars)
 
 
-def _segment(size: Column, i: int, count: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment ``i`` of a line of ``size``; the last ones take the remainder."""
-    base, longer = F.floor(size / count).cast("int"), count - size % count
-    return base * i + F.greatest(F.lit(0), F.lit(i) - longer), base + (F.lit(i) >= longer).cast("int")
+def probe_plan(edits: int) -> list[tuple[int, int, int]]:
+    """What to cut from a line, as (segment, how much shorter the other line is, shift).
+
+    The first entry of a segment, unshifted in a line of the own length, is the segment itself. The
+    shifts are those that leave enough edits on both sides of the segment.
+    """
+    count = edits + 1
+    shifts = lambda i, less: range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1)
+    return [(i, less, shift) for less in range(count) for i in range(count) for shift in shifts(i, less)]
 
 
-def segment_keys(line: Column, size: Column, edits: int) -> Column:
-    """Array of ``(key, probe)``: the segments of a line, and the substrings to look for in lines as long or shorter.
+def segment_entries(lines: DataFrame, edits: int) -> DataFrame:
+    """``lines(id, size, line)`` with one row for each entry of the plan that fits: plus ``key``, ``probe``.
 
-    The shifts are those that leave enough edits on both sides of the segment. An unshifted segment
-    of the own length is its own probe.
+    Segments are parts of a line of ``size - less`` characters, the last ones take the remainder. The
+    plan is exploded before the parts are cut, which keeps the compiled expression small; bytes are
+    cut where the line is ASCII, which spares counting characters.
     """
-    count, out = edits + 1, []
-
-    def key(length: Column, i: int, start: Column, n: Column) -> Column:
-        return F.xxhash64(F.substring(line, start + 1, n), length, F.lit(i))
-
-    for i in range(count):
-        start, n = _segment(size, i, count)
-        out.append(F.struct(key(size, i, start, n).alias("key"), F.lit(False).alias("probe")))
-    for less in range(count):
-        length = size - less
-        for i in range(count):
-            start, n = _segment(length, i, count)
-            for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
-                if less == 0 and shift == 0:
-                    continue
-                at = start + shift
-                inside = (at >= 0) & (at + n <= size)
-                out.append(F.struct(F.when(inside, key(length, i, at, n)).alias("key"), F.lit(True).alias("probe")))
-    return F.filter(F.array(*out), lambda e: e["key"].isNotNull())
+    count = edits + 1
+    plan = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(less).alias("less"), F.lit(shift).alias("shift")) for i, less, shift in probe_plan(edits)])
+    rows = lines.select("id", "size", "line", F.explode(plan).alias("e"))
+    length = F.col("size") - F.col("e.less")
+    base, longer = F.floor(length / count).cast("int"), count - length % count
+    at = base * F.col("e.i") + F.greatest(F.lit(0), F.col("e.i") - longer) + F.col("e.shift")
+    rows = rows.select("id", "size", "line", "e", length.alias("length"), at.alias("at"), (base + (F.col("e.i") >= longer).cast("int")).alias("n"))
+    rows = rows.where((F.col("at") >= 0) & (F.col("at") + F.col("n") <= F.col("size")))
+    cut = lambda text: F.xxhash64(F.substring(text, F.col("at") + 1, F.col("n")), F.col("length"), F.col("e.i"))
+    key = F.when(F.octet_length("line") == F.col("size"), cut(F.col("line").cast("binary"))).otherwise(cut(F.col("line")))
+    return rows.select(key.alias("key"), ((F.col("e.less") > 0) | (F.col("e.shift") != 0)).alias("probe"), "id", "size", "line")
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -132,11 +130,8 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     variants of one line that differ too much do not become rows.
     """
     posted = lines_of(docs, min_chars).select(line_key(F.col("line")).alias("id"), "size", "line")
-    keyed = stage(posted, keys=segment_keys(F.col("line"), F.col("size"), edits))
-    entries = keyed.select("id", "size", "line", F.explode("keys").alias("e"))
-    entries = entries.select(F.col("e.key").alias("key"), F.col("e.probe").alias("probe"), "id", "size", "line")
-    shared = (entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("probe").alias("indexed"))
-              .where("lo <> hi AND NOT indexed").select("key"))
+    entries = segment_entries(posted, edits)
+    shared = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
     shared = bounded(stored(shared, "keys"), BROADCAST_ROWS)
     met = stored(entries.join(shared, "key").groupBy("key", "probe", "id", "size").agg(F.min("line").alias("line")), "met")
     texts = met.groupBy("id").agg(F.min("line").alias("line"))
