@@ -7,12 +7,12 @@ import types
 from collections.abc import Callable
 
 
-def kept(key: str, make: Callable[[], object], most: int = 4):
+def kept(key: str, make: Callable[[], object], most: int = 1):
     """The worker's object of that key, made at first use.
 
     Functions of this library reach the workers by value, and their module variables with them, so
     what should outlive a task hangs on a module entry of the process. The oldest of more than
-    ``most`` objects goes.
+    ``most`` objects goes: a job that needs another one seldom needs the first again.
     """
     box = sys.modules.setdefault("_quire_worker", types.ModuleType("_quire_worker")).__dict__.setdefault("kept", {})
     if key not in box:
