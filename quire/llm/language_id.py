@@ -28,8 +28,8 @@ UNDETERMINED = "und"
 MAX_LABELS = 2000
 #: Letters of a word that the vectorised pass takes; longer words are scored one by one with rescaling.
 LONG_WORD = 40
-CACHE_UNITS = 200_000
-BATCH_BYTES = 8 << 20
+CACHE_UNITS = 80_000
+BATCH_BYTES = 4 << 20
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 

@@ -23,10 +23,10 @@ from quire.llm.worker import kept
 
 SPACE = "▁"
 #: Words kept in each of two generations of a worker's memory.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 CACHE_WORD_CHARS = 64
 #: Bytes of text that a worker encodes at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 class MergeCodec:
