@@ -1,9 +1,11 @@
 """Near-equal embeddings by NN-descent.
 
 Vectors sorted by random hyperplane codes give each a first neighbour list; rounds of local joins
-let the neighbours of a vector, and the neighbours of those that point at it, meet. Recall is audited against
-brute force on a sample, and further rounds follow while it is too low. Short lists cannot hold the
-links of a large group, so in the end each list is enlarged to its component, block by block.
+let the neighbours of a vector, and the neighbours of those that point at it, meet. Short lists cannot hold the
+links of a large group: vectors whose list is full of links get a second list of the nearest in other
+components, which is renewed until it joins no more of them, and in the end each list is enlarged to its
+component, block by block. Recall is audited against brute force on a sample, full lists included, and
+further rounds follow while it is too low.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ TABLES = 12
 BITS = 24
 BLOCK = 64
 ROUNDS = 2
-MOST_ROUNDS = 5
+#: Rounds after which a recall below the bound is an error.
+MOST_ROUNDS = 20
 #: Vectors of the recall audit; compared with all others.
 AUDIT = 200
 MIN_RECALL = 0.995
@@ -59,21 +62,23 @@ def _codes(tables: int, seed: int):
                 seen = (_matrix(batch.column("embedding")) @ planes[dim]).reshape(batch.num_rows, tables, BITS + 1)
                 code = (seen[:, :, :BITS] > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
                 index = np.repeat(np.arange(batch.num_rows), tables)
-                cols = [batch.column(c).take(pa.array(index)) for c in ("cid", "label", "dim", "embedding")]
+                cols = [batch.column(c).take(pa.array(index)) for c in ("cid", "label", "dim", "embedding", "part")]
                 cols += [pa.array(np.tile(np.arange(tables, dtype=np.int32), batch.num_rows)), pa.array(code.ravel()), pa.array(seen[:, :, BITS].ravel())]
-                yield pa.RecordBatch.from_arrays(cols, names=["cid", "label", "dim", "embedding", "t", "code", "along"])
+                yield pa.RecordBatch.from_arrays(cols, names=["cid", "label", "dim", "embedding", "part", "t", "code", "along"])
     return run
 
 
-def _best(ids: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row its ``most`` nearest others: arrays of row id, other id and cosine."""
+def _best(ids: np.ndarray, x: np.ndarray, part: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row its ``most`` nearest of other parts: arrays of row id, other id and cosine."""
     s = x @ x.T
-    np.fill_diagonal(s, -2.0)
+    s[part[:, None] == part[None, :]] = -2.0
     k = min(most, len(ids) - 1)
     near = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(ids) - 1 else np.argsort(-s, axis=1)[:, :k]
     rows = np.repeat(np.arange(len(ids)), k)
     near = near.ravel()
-    return ids[rows], ids[near], s[rows, near]
+    cos = s[rows, near]
+    met = cos > -1.5
+    return ids[rows[met]], ids[near[met]], cos[met]
 
 
 def _edges(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -89,7 +94,7 @@ def _in_blocks(most: int):
                 continue
             keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("t", "label", "dim")], axis=1)
             cuts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [batch.num_rows]))
-            ids, parts = batch.column("cid").to_numpy(), []
+            ids, part, parts = batch.column("cid").to_numpy(), batch.column("part").to_numpy(), []
             for begin, end in zip(cuts[:-1], cuts[1:]):
                 if end - begin < 2:
                     continue
@@ -97,7 +102,7 @@ def _in_blocks(most: int):
                 for at in range(0, max(1, end - begin - BLOCK // 2), BLOCK // 2):
                     own = slice(at, min(at + BLOCK, end - begin))
                     if own.stop - own.start > 1:
-                        parts.append(_best(ids[begin:end][own], x[own], most))
+                        parts.append(_best(ids[begin:end][own], x[own], part[begin:end][own], most))
             yield _edges(parts)
     return run
 
@@ -112,76 +117,99 @@ def _flat(lists: DataFrame) -> DataFrame:
     return lists.select("u", F.explode("n").alias("e")).select("u", F.col("e.v").alias("v"), (-F.col("e.far")).alias("cos"))
 
 
-def _local_join(vectors: DataFrame, lists: DataFrame, most: int) -> DataFrame:
-    """Edges found among each vector's neighbours and those it is a neighbour of.
+def _local_join(vectors: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """Edges between different parts found among each vector's neighbours ``edges(u, v)`` and those it is a neighbour of.
 
     Those that point at a vector are dealt into chunks of about a list's length, each of which meets
     the whole list, so a vector that many point at makes many small groups.
     """
-    forward = _flat(lists).select("u", "v")
+    forward = edges.select("u", "v")
     back = forward.select(F.col("v").alias("u"), F.col("u").alias("v"))
     chunks = back.groupBy("u").agg(F.ceil(F.count("*") / NEIGHBOURS).cast("int").alias("chunks"))
     met = forward.join(chunks, "u", "left").select("u", "v", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("c"))
     back = back.join(chunks, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int").alias("c"))
-    groups = met.unionByName(back).distinct().join(vectors.select(F.col("cid").alias("v"), "embedding"), "v")
-    groups = groups.groupBy("u", "c").agg(F.collect_list(F.struct("v", "embedding")).alias("m"))
+    groups = met.unionByName(back).distinct().join(vectors.select(F.col("cid").alias("v"), "part", "embedding"), "v")
+    groups = groups.groupBy("u", "c").agg(F.collect_list(F.struct("v", "part", "embedding")).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("m")
             offsets, flat = column.offsets.to_numpy(), column.flatten()
-            ids, parts = flat.field("v").to_numpy(), []
+            ids, part, parts = flat.field("v").to_numpy(), flat.field("part").to_numpy(), []
             start = offsets[0]
             for a, b in zip(offsets[:-1] - start, offsets[1:] - start):
                 if b - a > 1:
-                    parts.append(_best(ids[a:b], _matrix(flat.field("embedding").slice(a, b - a)), most))
+                    parts.append(_best(ids[a:b], _matrix(flat.field("embedding").slice(a, b - a)), part[a:b], most))
             yield _edges(parts)
 
     return groups.select("m").mapInArrow(run, "u long, v long, cos double")
 
 
-def _audit(vectors: DataFrame, links: DataFrame, saturated: DataFrame, threshold: float, turn: int) -> float:
-    """Share of the links of a sample that the lists hold; full lists are compared in full later and count as whole."""
-    sample = vectors.orderBy(F.xxhash64("cid", F.lit(turn))).limit(AUDIT).select("cid", "label", "dim", "embedding")
-    sample = sample.join(saturated.withColumnRenamed("u", "cid"), "cid", "left_anti")
-    probe = F.broadcast(stored(sample, "audit").select(F.col("cid").alias("q"), F.col("label").alias("ql"), F.col("dim").alias("qd"), F.col("embedding").alias("qe")))
+def _audit(vectors: DataFrame, threshold: float, turn: int) -> float:
+    """Share of the links of a sample whose ends are in one part; inside a part all links are counted later."""
+    sample = vectors.orderBy(F.xxhash64("cid", F.lit(turn))).limit(AUDIT)
+    probe = F.broadcast(stored(sample.select(F.col("cid").alias("q"), F.col("label").alias("ql"), F.col("dim").alias("qd"), F.col("part").alias("qp"), F.col("embedding").alias("qe")), "audit"))
     met = vectors.join(probe, (F.col("label") == F.col("ql")) & (F.col("dim") == F.col("qd")) & (F.col("cid") != F.col("q")))
     product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     cos = product(F.col("embedding"), F.col("qe")) / F.sqrt(product(F.col("embedding"), F.col("embedding")) * product(F.col("qe"), F.col("qe")))
-    true = met.where(cos >= threshold).select(F.col("q").alias("u"), F.col("cid").alias("v"))
-    both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    found = true.join(both.withColumn("hit", F.lit(1)), ["u", "v"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("k")).first()
+    found = met.where(cos >= threshold).agg(F.count("*").alias("n"), F.count_if(F.col("part") == F.col("qp")).alias("k")).first()
     return found["k"] / found["n"] if found["n"] else 1.0
 
 
-def neighbour_graph(vectors: DataFrame, threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, float]:
-    """``(links, saturated, recall)`` of ``vectors(cid, label, dim, embedding)``.
+def _first(vectors: DataFrame, seed: int) -> DataFrame:
+    """Edges between different parts among vectors that follow each other in the order of codes."""
+    slots = max(8, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    coded = vectors.mapInArrow(_codes(TABLES, seed), "cid long, label int, dim int, embedding array<float>, part long, t int, code long, along double")
+    order = ["t", "label", "dim", "code", "along", "cid"]
+    return coded.repartitionByRange(slots, *order).sortWithinPartitions(*order).mapInArrow(_in_blocks(4), "u long, v long, cos double")
 
-    ``links(u, v, cos)`` are list entries at the threshold or above, ``saturated(u)`` the vectors whose
-    whole list is links. Vectors meet only inside their label and length.
-    """
-    parts = max(8, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def first(seed: int) -> DataFrame:
-        coded = vectors.mapInArrow(_codes(TABLES, seed), "cid long, label int, dim int, embedding array<float>, t int, code long, along double")
-        order = ["t", "label", "dim", "code", "along", "cid"]
-        return coded.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_in_blocks(4), "u long, v long, cos double")
+def _between(full: DataFrame, edges: DataFrame, neighbours: int, rounds: int, seed: int) -> DataFrame:
+    """Edges from the vectors ``full`` to their nearest of other parts, by descent along these and their own lists ``edges``."""
+    lists = stored(_lists(_first(full, seed), neighbours), "others")
+    for _ in range(rounds):
+        more = _local_join(full, edges.unionByName(_flat(lists)), neighbours)
+        lists = stored(_lists(_flat(lists).unionByName(more), neighbours), "others")
+    return _flat(lists)
+
 
-    lists = stored(_lists(first(0), neighbours), "lists")
-    turn, recall = 0, 0.0
+def neighbour_graph(vectors: DataFrame, threshold: float = THRESHOLD, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS) -> tuple[DataFrame, float]:
+    """``(parts, recall)`` of ``vectors(cid, label, dim, embedding)``.
+
+    ``parts(cid, component)`` holds every vector that has a link, a cosine at the threshold or above.
+    Vectors meet only inside their label and length. The rounds end when full lists join no further
+    components and the audit finds its share of the links inside the components.
+    """
+    alone = vectors.select("cid", "label", "dim", "embedding", F.col("cid").alias("part"))
+    lists = stored(_lists(_first(alone, 0), neighbours), "lists")
+    pairs, turn = None, 0
     while True:
-        more = _local_join(vectors, lists, neighbours)
-        if turn >= rounds:
-            more = more.unionByName(first(turn))
-        lists = stored(_lists(_flat(lists).unionByName(more), neighbours), "lists")
         turn += 1
+        met = _flat(lists).unionByName(_local_join(alone, _flat(lists), neighbours))
+        lists = stored(_lists(met if turn <= rounds else met.unionByName(_first(alone, turn)), neighbours), "lists")
         if turn < rounds:
             continue
-        links = _flat(lists).where(F.col("cos") >= threshold)
-        saturated = lists.where((F.size("n") == neighbours) & (-F.col("n")[neighbours - 1]["far"] >= threshold)).select("u")
-        recall = _audit(vectors, links, saturated, threshold, turn)
-        if recall >= MIN_RECALL or turn >= MOST_ROUNDS:
-            return links, saturated, recall
+        links = _flat(lists).where(F.col("cos") >= threshold).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+        pairs = stored((links if pairs is None else links.unionByName(pairs)).distinct(), "pairs")
+        joined = True
+        while joined:
+            parts = stored(connected_components(pairs).withColumnRenamed("node", "cid"), "parts")
+            placed = alone.drop("part").join(parts, "cid", "left").select("cid", "label", "dim", "embedding", F.coalesce("component", "cid").alias("part"))
+            placed = stored(placed, "placed")
+            full = lists.where((F.size("n") == neighbours) & (-F.col("n")[neighbours - 1]["far"] >= threshold)).select(F.col("u").alias("cid"))
+            full = stored(placed.join(full, "cid", "left_semi"), "full")
+            joined = False
+            if not full.isEmpty():
+                across = _between(full, _flat(lists), neighbours, rounds, turn).where(F.col("cos") >= threshold)
+                across = stored(across.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "across")
+                joined = not across.isEmpty()
+                if joined:
+                    pairs = stored(pairs.unionByName(across), "pairs")
+        recall = _audit(placed, threshold, turn)
+        if recall >= MIN_RECALL:
+            return parts, recall
+        if turn >= MOST_ROUNDS:
+            raise RuntimeError(f"the lists hold {recall:.4f} of the links of a sample after {turn} rounds")
 
 
 def _degrees_in_full(vectors: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
@@ -227,9 +255,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, neighbours
     rows = rows.withColumn("cid", F.when(usable(F.col("embedding"), F.col("label")) & F.col("vec_id").isNotNull(), F.xxhash64("label", "embedding")))
     vectors = rows.where("cid IS NOT NULL").groupBy("cid", "label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     vectors = stored(vectors.withColumn("dim", F.size("embedding")), "vectors")
-    links, _, _ = neighbour_graph(vectors.select("cid", "label", "dim", "embedding"), threshold, neighbours)
-    pairs = stored(links.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct(), "pairs")
-    parts = stored(connected_components(pairs).withColumnRenamed("node", "cid"), "parts")
+    parts, _ = neighbour_graph(vectors.select("cid", "label", "dim", "embedding"), threshold, neighbours)
     degrees = _degrees_in_full(vectors, parts, threshold)
     named = vectors.select("cid", "rep", "weight").join(parts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("rep").alias("least"))

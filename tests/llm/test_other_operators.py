@@ -124,6 +124,35 @@ def test_near_vectors(spark):
     assert got == sorted(want)
 
 
+def two_groups(r, size, dims=32, inside=0.9995, across=0.985):
+    """Two tight groups of vectors of length one: cosines of about ``inside`` in a group and ``across`` between them."""
+    x = r.standard_normal(dims)
+    x /= np.linalg.norm(x)
+    y = r.standard_normal(dims)
+    y -= (y @ x) * x
+    y /= np.linalg.norm(y)
+    other = across * x + np.sqrt(1 - across * across) * y
+    noise = lambda: r.standard_normal(dims) * np.sqrt((1 - inside) / dims)
+    return [[float(v) for v in c + noise()] for c in (x, other) for _ in range(size)]
+
+
+def test_near_vectors_between_full_lists(spark):
+    r = np.random.default_rng(11)
+    groups = [v for size in (9, 12, 12, 40, 150) for v in two_groups(r, size)]
+    rows = [(k, e, 1) for k, e in enumerate(groups)] + [(5000 + k, [float(v) for v in r.standard_normal(32)], 1) for k in range(60)]
+    want = brute_vectors(rows)
+    assert len({c for i, n, c, _ in want if n}) == 5
+    got = sorted((str(x.vec_id), x.n_links, str(x.component_id), x.kept) for x in V.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == want
+
+
+def test_near_vectors_audit(spark):
+    r = np.random.default_rng(12)
+    rows = [(k, 1, 32, e, k // 30) for k, e in enumerate(two_groups(r, 30))]
+    split = spark.createDataFrame(rows, "cid long, label int, dim int, embedding array<float>, part long")
+    assert V._audit(split, V.THRESHOLD, 0) < 0.6 and V._audit(split.withColumn("part", F.lit(0)), V.THRESHOLD, 0) == 1.0
+
+
 def test_near_vectors_empty(spark):
     assert V.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
