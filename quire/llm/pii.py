@@ -26,13 +26,16 @@ BASE = {
 }
 GATE = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 KINDS = [*BASE, "secret", "ssn", "iban", "number"]
-# Looser candidates, one alternative for each further kind.
+SECRET_WORDS = r"(?i:passwd|password|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]"
+# Looser candidates, one alternative for each further kind. A secret's value has no upper length.
 LOOSE = {
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:passwd|password|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.-]{6,128}",
+    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|" + SECRET_WORDS + r"\s{0,3}[\"']?[A-Za-z0-9+/_.-]{6,}+",
     "ssn": r"(?<![0-9A-Za-z.+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "number": r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
 }
+#: Holds wherever an alternative of ``LOOSE`` does: secrets need no digit, the other kinds do.
+LOOSE_GATE = r"[0-9]|AKIA|" + SECRET_WORDS
 # Gazetteers and cue words.
 GAZETTEER = r"AKIA|(?i:passw|pwd|secret|token|key)|^(?:DE|FR|ES|GB|IT|NL|AT|CH|BE|PT)[0-9]{2}|^\(?0"
 CUES = r"(?i)(?:phone|tel|mobile|call|fax|contact|account|konto|compte|cuenta|ssn|social|security|card|passw|secret|token|key|credential|login|kontakt|telefon|tél|teléfono)[^\n]{0,20}$"
@@ -112,7 +115,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     that overlap an exact span are left to it.
     """
     pattern = "|".join(f"(?:{p})" for p in LOOSE.values())
-    out = matches(docs, "text", pattern, F.col("text").rlike("[0-9]"), "_loose")
+    out = matches(docs, "text", pattern, F.col("text").rlike(LOOSE_GATE), "_loose")
 
     def kind_of(m: Column) -> Column:
         found = [F.when(m.rlike(f"^(?:{p.replace('(?<![0-9A-Za-z.+-])', '').replace('(?<![A-Za-z0-9])', '').replace('(?<![0-9A-Za-z+.-])', '')})$"), F.lit(KINDS.index(k))) for k, p in LOOSE.items()]
