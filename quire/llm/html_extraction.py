@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,17 +28,24 @@ STOP_WORDS = frozenset((
     "son su sus también tiene un una y ya").split())
 
 # Elements of the page grammar.
-SKIPPED = "script style noscript template svg math iframe object textarea select button title canvas video audio"
+#: Their content is text up to the closing tag, or to the end of the page.
+RAW = "script style noscript iframe textarea title"
+#: Their content is markup that is not part of the text.
+HIDDEN = frozenset("template svg math object select button canvas video audio".split())
 BLOCKS = frozenset(("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
                     "html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul").split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FRAME = frozenset("nav footer aside form menu dialog header".split())
-IMPLIED_END = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]),
-               "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
+#: Elements that an opening tag ends, and those beyond which it does not look for them.
+ENDS = {"li": (("li",), BLOCKS - {"address", "div", "p", "li"}), "dt": (("dt", "dd"), BLOCKS - {"address", "div", "p", "dt", "dd"}),
+        "dd": (("dt", "dd"), BLOCKS - {"address", "div", "p", "dt", "dd"}), "td": (("td", "th"), frozenset(["tr", "table"])), "th": (("td", "th"), frozenset(["tr", "table"])),
+        "tr": (("tr",), frozenset(["table"])), "option": (("option",), BLOCKS - {"option"})}
+#: Inline elements whose closing tag leaves open blocks inside them open.
+FORMAT = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 
 _TOKEN = re.compile(
     r"<!--[\s\S]*?(?:-->|\Z)|<!\[CDATA\[[\s\S]*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    rf"|<({SKIPPED.replace(' ', '|')})\b[^>]*>[\s\S]*?(?:</\1\s*>|\Z)"
+    rf"|<({RAW.replace(' ', '|')})(?![\w:-])(?!/>|[^>]*+(?<=[\s\"']/)>)[^>]*>[\s\S]*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.IGNORECASE)
 _MARK = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _BOILER = re.compile(
@@ -72,7 +80,10 @@ class Block:
 def blocks(page: str) -> tuple[list[Block], bool]:
     """Text blocks in page order, and whether the page marks its main part. One pass over the tokens."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, inside, framed, link
+    # name, inside, framed, and from which depth on hidden (0: not); an element that ended before what stands in it has no name
+    stack: list[tuple[str, bool, bool, int]] = []
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # places of the open elements of a name in the stack
+    open_blocks: list[int] = []
     parts: list[str] = []
     link_chars, marked = 0, False
     heading = False
@@ -81,23 +92,38 @@ def blocks(page: str) -> tuple[list[Block], bool]:
         nonlocal link_chars
         text = " ".join("".join(parts).split())
         if text:
-            _, inside, framed, _ = stack[-1] if stack else ("", False, False, False)
+            depth = stack[-1][3] - 1 if stack and stack[-1][3] else len(stack)
+            _, inside, framed, _ = stack[depth - 1] if depth else ("", False, False, 0)
             out.append(Block(text, link_chars, inside, framed, heading))
         parts.clear()
         link_chars = 0
 
     def add(raw: str) -> None:
         nonlocal link_chars
+        if stack and stack[-1][3]:
+            return
         text = html.unescape(raw) if "&" in raw else raw
         parts.append(text)
-        if stack and stack[-1][3]:
+        if opened["a"]:
             link_chars += len(text.strip())
 
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            name = stack.pop()[0]
+            if name:
+                opened[name].pop()
+            if open_blocks and open_blocks[-1] == len(stack):
+                open_blocks.pop()
+
     def close(name: str) -> None:
-        for k in range(len(stack) - 1, max(-1, len(stack) - 400), -1):
-            if stack[k][0] == name:
-                del stack[k:]
-                return
+        if not opened[name]:
+            return
+        k = opened[name][-1]
+        if name in FORMAT and open_blocks and open_blocks[-1] > k:
+            opened[name].pop()
+            stack[k] = ("", *stack[k][1:])
+        else:
+            cut(k)
 
     at = 0
     for token in _TOKEN.finditer(page):
@@ -114,32 +140,47 @@ def blocks(page: str) -> tuple[list[Block], bool]:
         if name == "br":
             parts.append(" ")
             continue
-        if name in BLOCKS:
-            flush()
+        if stack and stack[-1][3] and not closing and name in BLOCKS:  # drawings and formulas left open end at a block of the page
+            drawn = max((opened[n][-1] for n in ("svg", "math") if opened[n]), default=-1)
+            if drawn >= 0 and not any(opened[n] and opened[n][-1] > drawn for n in ("foreignobject", "desc", "annotation-xml")):
+                cut(min(opened[n][0] for n in ("svg", "math") if opened[n]))
+        hidden = stack[-1][3] if stack else 0
         if closing:
-            close(name)
-            if name in BLOCKS:
+            if name in BLOCKS and (not hidden or opened[name] and not stack[opened[name][-1]][3]):
+                flush()
                 heading = False
+            close(name)
             continue
+        if name in BLOCKS and not hidden:
+            flush()
         if name in VOID:
             continue
-        while stack and name in IMPLIED_END.get(stack[-1][0], ()):
-            stack.pop()
-        if name in BLOCKS:  # inline elements left open in a paragraph end with it
-            opened = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 40), -1) if stack[k][0] in BLOCKS), None)
-            if opened is not None and stack[opened][0] == "p":
-                del stack[opened:]
-            heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
-        _, inside, framed, link = stack[-1] if stack else ("", False, False, False)
+        if not hidden:
+            if name in ENDS:
+                ended, beyond = ENDS[name]
+                least = max((opened[n][-1] for n in beyond if opened[n]), default=-1)
+                found = [opened[n][-1] for n in ended if opened[n] and opened[n][-1] > least]
+                if found:
+                    cut(min(found))
+            if name == "a":
+                close("a")
+            if name in BLOCKS:  # inline elements left open in a paragraph end with it
+                if open_blocks and stack[open_blocks[-1]][0] == "p":
+                    cut(open_blocks[-1])
+                heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
+        _, inside, framed, _ = stack[-1] if stack else ("", False, False, 0)
         main = name in ("article", "main") or bool(re.search(r"""role\s*=\s*["']?main\b""", attributes, re.IGNORECASE))
-        marked |= main
+        marked |= main and not hidden
         named = " ".join(x for m in _MARK.findall(attributes) for x in m if x) if "=" in attributes else ""
         # the header of an article holds its title; any other header belongs to the page
         frame = name in FRAME and not (name == "header" and (inside or main)) or (name not in ("body", "html", "article", "main") and bool(_BOILER.search(named)))
         frame |= bool(attributes and _HIDDEN.search(attributes))
-        stack.append((name, inside or main, framed or frame, link or name == "a"))
         if attributes.endswith("/") and name not in BLOCKS:
-            stack.pop()
+            continue
+        opened[name].append(len(stack))
+        if name in BLOCKS:
+            open_blocks.append(len(stack))
+        stack.append((name, inside or main, framed or frame, hidden or (len(stack) + 1 if name in HIDDEN else 0)))
     if at < len(page):
         tail = page[at:]
         add(tail if "<" not in tail else re.sub(r"<[a-zA-Z/!?][\s\S]*\Z", "", tail))

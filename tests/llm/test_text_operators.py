@@ -77,6 +77,27 @@ def test_main_text_rules():
     assert H.main_text("<" * 2000 + '<a href="' * 500) == ""
 
 
+def test_parts_without_text():
+    for name in ("svg", "math", "button", "object", "select", "canvas", "video", "audio", "template"):
+        assert H.main_text(f'<article><p>One</p><{name} class="i"/><p>Two</p><p>Three</p></article>') == "One\nTwo\nThree", name
+        assert H.main_text(f'<article><div><p>One</p><{name} class="i"><b>x</b></div><p>Two</p><p>Three</p></article>') == "One\nTwo\nThree", name
+        assert H.main_text(f"<article><p>One <{name}>a<i>b</i></{name}> two</p><p>Three</p></article>") == "One two\nThree", name
+    assert H.main_text('<article><p>One</p><svg class="i"><path d=x><p>Two</p><p>Three</p></article>') == "One\nTwo\nThree"
+    assert H.main_text("<article><p>One <button><div>x<p>y</div></button> two<svg><svg></svg>z</svg></p><script/><p>Three</p><script>x<p>y</article>") == "One two\nThree"
+    assert H.main_text('<article><p>One <button class="share">x</p><p>Two</p></article>') == "One\nTwo"
+    assert H.main_text("<template><article><p>gone</p></article></template><article><p>One</p></article>") == "One"
+
+
+def test_open_elements_without_bound():
+    items = "".join(f"<li><a href=x{k}>x" for k in range(600))
+    assert H.main_text(f"<body><nav>{items}</nav><article><p>One</p><p>Two</p></article></body>") == "One\nTwo"
+    assert H.main_text(f"<body><nav>{'<span><i>x' * 600}</nav><article><p>One</p><p>Two</p></article></body>") == "One\nTwo"
+    found, _ = H.blocks(f"<article><ul>{items}</ul><p>{LONG}</p><div><a href=y>y</div><p>Two <a href=z>z</a> three</p></article>")
+    assert [(b.text, b.link_chars) for b in found if b.text != "x"] == [(LONG.strip(), 0), ("y", 1), ("Two z three", 1)]
+    found, _ = H.blocks("<ul><li>one<ul><li><b>two<li>three</ul><li>four</ul><a name=t><div><p>x</p><a href=y>y</a> z</div>")
+    assert [(b.text, b.link_chars) for b in found] == [("one", 0), ("two", 0), ("three", 0), ("four", 0), ("x", 1), ("y z", 1)]
+
+
 def test_extract_pages_rows(spark):
     rows = [(1, "u", "<article><p>a  b</p></article>", "old"), (1, "u", "<article><p>a  b</p></article>", "old"), (None, None, None, None), (2, "v", "", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
