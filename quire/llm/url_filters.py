@@ -8,15 +8,21 @@ decision of the addresses in its connected component, where an explicit allow co
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from quire.functions.staging import stage
 from quire.llm.graph import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 Rule = tuple[str, str, str]  # verdict, host, path
 #: Query parameters that name a campaign and not a resource (fixed values).
 CAMPAIGN = r"(?:utm_[a-z]+|gclid|fbclid|ref)"
+#: Character references, decimal, hexadecimal and by name.
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,9});"
+NAMED = {"apos": 39, **name2codepoint}
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
 def host(url: Column) -> Column:
@@ -36,8 +42,50 @@ def resource(url: Column) -> Column:
     return F.regexp_replace(kept, r"[?&]+$", "")
 
 
-def page_links(html: Column) -> Column:
-    """Addresses that a page names as its own: canonical link, ``og:url`` and an immediate refresh; null-free array."""
+def decoded(text: Column) -> Column:
+    """``text`` with its character references replaced by their characters, once; unknown ones stay."""
+    names = F.create_map(*[x for name, code in NAMED.items() for x in (F.lit(name), F.lit(chr(code)))])
+
+    def character(r):
+        body = F.substring(r, F.lit(2), F.length(r) - 2)
+        code = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, F.lit(3), F.length(body)), 16, 10)).otherwise(F.substring(body, F.lit(2), F.length(body))).cast("int")
+        fine = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        written = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(F.startswith(body, F.lit("#")), F.when(fine, written).otherwise(r)).otherwise(F.coalesce(F.try_element_at(names, body), r))
+    found = F.concat(F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), character), F.array(F.lit("")))
+    whole = F.array_join(F.zip_with(F.split(text, REFERENCE, -1), found, lambda gap, c: F.concat(gap, c)), "")
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+
+
+def _without_dots(path_: Column) -> Column:
+    """A path that begins with a slash, its ``.`` and ``..`` segments resolved."""
+    parts = F.split(path_, "/")
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"),
+                       lambda out, p: F.when(p == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).when(p == ".", out).otherwise(F.concat(out, F.array(p))))
+    folder = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.when(path_.rlike(r"/\.{1,2}(?:/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), folder)).otherwise(path_)
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The address that ``target`` names on a page at ``base``; null without ``://`` in the end, as for mail or script."""
+    site = F.regexp_extract(base, r"^([^:/?#]+://[^/?#]*)", 1)
+    here = F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    folder = F.when(here == "", F.lit("/")).otherwise(F.regexp_extract(here, r"^([\s\S]*/)[^/]*$", 1))
+    named = F.regexp_extract(target, r"^([^?#]*)", 1)
+    rest = F.substring(target, F.length(named) + 1, F.length(target))
+    inside = (F.when(F.startswith(target, F.lit("//")), F.concat(F.regexp_extract(base, r"^([^:/?#]+:)//", 1), target))
+              .when(F.startswith(target, F.lit("/")), F.concat(site, _without_dots(named), rest))
+              .when(F.startswith(target, F.lit("?")), F.concat(site, here, target))
+              .when(F.startswith(target, F.lit("#")), F.concat(F.regexp_replace(base, r"#[\s\S]*$", ""), target))
+              .otherwise(F.concat(site, _without_dots(F.concat(folder, named)), rest)))
+    return F.when(target.rlike(SCHEME), F.when(F.contains(target, F.lit("://")), target)).when((site != "") & (target != ""), inside)
+
+
+def page_links(html: Column, url: Column) -> Column:
+    """Addresses that a page names as its own: canonical link, ``og:url`` and an immediate refresh; null-free array.
+
+    References are decoded and relative addresses resolved against the page's ``base`` or its own ``url``.
+    """
     value = r"""[^>]{0,2000}?%s\s*=\s*["']?([^"'\s>]+)"""
     tag = r"(?is)<%s\b(?=[^>]{0,2000}?%s)" + value
     refresh = r"""(?is)<meta\b(?=[^>]{0,2000}?http-equiv\s*=\s*["']?refresh)[^>]{0,2000}?content\s*=\s*["']?\s*[0-9]+\s*;\s*url\s*=\s*["']?([^"'\s>]+)"""
@@ -46,14 +94,19 @@ def page_links(html: Column) -> Column:
         F.regexp_extract_all(text, F.lit(tag % ("link", r"""rel\s*=\s*["']?canonical\b""", "href")), 1),
         F.regexp_extract_all(text, F.lit(tag % ("meta", r"""property\s*=\s*["']?og:url\b""", "content")), 1),
         F.regexp_extract_all(text, F.lit(refresh), 1))
-    return F.filter(found, lambda u: F.contains(u, F.lit("://")))
+    stated = F.regexp_extract(text, r"(?is)<base\b" + value % r"\bhref", 1)
+    # arrays bind what they hold, so that the base and each decoded target are found once
+    page = F.transform(F.transform(F.array(stated), decoded), lambda b: F.struct(found.alias("f"), F.coalesce(resolved(b, url), url).alias("b")))
+    based = F.transform(page, lambda x: F.transform(F.transform(x["f"], decoded), lambda u: resolved(u, x["b"])))
+    return F.filter(F.flatten(based), lambda u: u.isNotNull())
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
     """Edges ``a``, ``b`` between addresses: page to canonical or redirect target, and to the resource asked for."""
-    linked = F.when(F.col("html").rlike(r"(?i)canonical|og:url|http-equiv"), page_links(F.col("html"))).otherwise(F.array().cast("array<string>"))
-    targets = F.concat(linked, F.array(resource(F.col("url"))))
-    first = pages.where("url IS NOT NULL").select(F.col("url").alias("a"), F.explode(targets).alias("b"))
+    linked = F.when(F.col("html").rlike(r"(?i)canonical|og:url|http-equiv"), page_links(F.col("html"), F.coalesce("url", F.lit("")))).otherwise(F.array().cast("array<string>"))
+    source = stage(pages.where("url IS NOT NULL").select("url", "html"), _linked=linked)
+    targets = F.concat("_linked", F.array(resource(F.col("url"))))
+    first = source.select(F.col("url").alias("a"), F.explode(targets).alias("b"))
     second = first.select(F.col("b").alias("a"), resource(F.col("b")).alias("b"))
     return first.unionByName(second).where("a <> b").distinct()
 

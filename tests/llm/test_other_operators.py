@@ -45,6 +45,25 @@ def test_url_aliases(spark):
     assert U.url_verdicts(pages.where("page_id = 7"), URL_RULES, more).first().verdict == "block"
 
 
+def test_url_relative_targets(spark):
+    from urllib.parse import urljoin
+    bases = ["https://x.net/p?id=1", "https://x.net", "http://x.net/a/b/c.html#t"]
+    targets = ["/es/nota", "//y.net/fr/a", "nota", "../es/./n?x=/../y", "./", "..", "?q=1", "http://z.org/a", "/a//b", "x/..", "n?u=http://z.org/"]
+    given = spark.createDataFrame([(b, t) for b in bases for t in targets], "b string, t string")
+    got = {(x.b, x.t): x.u for x in given.select("b", "t", U.resolved(F.col("t"), F.col("b")).alias("u")).collect()}
+    assert got == {(b, t): urljoin(b, t) for b in bases for t in targets}
+    others = spark.createDataFrame([("mailto:a@b.c", "http://x.net/"), ("javascript:void(0)", "http://x.net/"), ("/a", "no scheme"), ("", "http://x.net/")], "t string, b string")
+    assert {x[0] for x in others.select(U.resolved(F.col("t"), F.col("b"))).collect()} == {None}
+    texts = ["a&amp;b", "&#38;#47;", "&#x2F;&#47;&eacute;&nothing;&apos;", "&#x1F600;&#0;&#xD800;&", "plain"]
+    assert [x[0] for x in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(U.decoded(F.col("t"))).collect()] == [
+        "a&b", "&#47;", "//é&nothing;'", "😀&#0;&#xD800;&", "plain"]
+    rows = [(1, "https://x.net/p?id=1", '<link rel=canonical href="/es/nota">'), (2, "https://a.org/1", '<meta property="og:url" content="//x.net/fr/a">'),
+            (3, "https://b.net/q/1", "<meta http-equiv=refresh content='0;url=../es/2'>"), (4, "https://c.org/1", '<link rel=canonical href="https://d.org/?a=1&amp;b=2">'),
+            (5, "https://d.org/?a=1&b=2", '<base href="//e.net/fr/"><link rel=canonical href=n>'), (6, "https://f.org/1", "<link rel=canonical href=/en/>")]
+    out = U.url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string"), URL_RULES)
+    assert {x.page_id: (x.verdict, x.via) for x in out.collect()} == {**{k: ("block", "alias") for k in range(1, 6)}, 6: ("allow", "default")}
+
+
 def brute_spans(t):
     out = []
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):
