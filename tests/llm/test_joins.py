@@ -122,6 +122,18 @@ def test_near_duplicates(spark, seed):
     assert ids.count(None) == 2
 
 
+def test_deduplicate_repeated_ids(spark):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    rows = [(1, text(1)), (5, text(1) + " more"), (5, text(2)), (5, text(3)), (5, text(3)), (6, text(4)), (6, text(4) + " more"), (7, text(5)), (8, text(5)), (8, text(5)), (8, text(6)),
+            (9, ""), (9, ""), (9, None), (9, text(7)), (None, text(1)), (None, text(1))]
+    kept = J.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert kept.columns == ["doc_id", "text"]
+    got = Counter((x.doc_id, x.text) for x in kept.collect())
+    sixth = [k for k in got if k[0] == 6]
+    assert len(sixth) == 1 and got.pop(sixth[0]) == 1
+    assert got == Counter([(1, text(1)), (5, text(2)), (5, text(3)), (7, text(5)), (8, text(6)), (9, ""), (9, ""), (9, None), (9, text(7)), (None, text(1)), (None, text(1))])
+
+
 def test_near_duplicates_empty(spark):
     assert J.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
