@@ -18,7 +18,7 @@ from quire.llm.joins import bounded, meet
 from quire.session import stored
 
 EDITS = 2
-#: Shorter lines are left alone: a few edits would change what they say.
+#: Shorter lines are not compared by edits, a few of which would change what they say; their exact copies go on request.
 MIN_CHARS = 40
 BROADCAST_ROWS = 500_000
 #: Letters, and groups of rarer ones, whose counts are compared before verification (fixed values); an edit changes
@@ -31,11 +31,17 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(line, F.length(line))
 
 
-def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``doc_id, h, line_no, line, size`` of every line that is long enough; ``h`` is a hash of the text."""
+def lines_of(docs: DataFrame, min_chars: int, exact_chars: int | None = None) -> DataFrame:
+    """``doc_id, h, line_no, line, size`` of every line that is long enough; ``h`` is a hash of the text.
+
+    With ``exact_chars`` also the shorter lines of so many characters that are not blank.
+    """
     cut = stage(docs.select("doc_id", F.hash("text").alias("h"), "text"), _lines=F.split(F.col("text"), "\n")).drop("text")
     rows = cut.select("doc_id", "h", F.posexplode("_lines").alias("line_no", "line"))
-    return rows.withColumn("size", F.length("line")).where(F.col("size") >= min_chars)
+    rows = rows.withColumn("size", F.length("line"))
+    if exact_chars is None:
+        return rows.where(F.col("size") >= min_chars)
+    return rows.where((F.col("size") >= min_chars) | (F.col("size") >= exact_chars) & F.col("line").rlike(r"\S"))
 
 
 def probe_plan(edits: int) -> list[tuple[int, int, int]]:
@@ -153,7 +159,7 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     return cut.select("a", "b", banded_distance(F.col("s"), F.col("t"), edits).alias("distance")).where("distance IS NOT NULL")
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """Line keys that repeat: ``id`` and the place ``keep(doc_id, h, line_no)`` whose line stays.
 
     Lines connected by near pairs are one class; the place of least document id and line number of
@@ -162,7 +168,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     pairs = stored(near_lines(docs, edits, min_chars), "near")
     parts = connected_components(pairs.select("a", "b"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "line_no")
-    firsts = (lines_of(docs, min_chars).select(line_key(F.col("line")).alias("id"), place.alias("place"))
+    firsts = (lines_of(docs, min_chars, exact_chars).select(line_key(F.col("line")).alias("id"), place.alias("place"))
               .groupBy("id").agg(F.min("place").alias("place"), F.count("*").alias("n")))
     firsts = firsts.join(parts.withColumnRenamed("node", "id"), "id", "left").where("n > 1 OR component IS NOT NULL")
     firsts = stored(firsts.select("id", "place", F.coalesce("component", "id").alias("root")), "firsts")
@@ -170,18 +176,18 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     return stored(firsts.join(keep, "root").select("id", "keep"), "repeated")
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """The documents with repeated lines removed: all columns, ``text`` renewed, plus ``n_lines`` and ``n_removed``.
 
-    A line of at least ``min_chars`` characters goes if its class stands at an earlier place; the rest of
-    a document keeps its order and line breaks. Null texts stay null with no lines, empty texts have
+    A line of at least ``min_chars`` characters goes if its class stands at an earlier place, and with
+    ``exact_chars`` a shorter line of so many that is not blank if an equal line does; the rest of a document keeps its order and line breaks. Null texts stay null with no lines, empty texts have
     one empty line. Equal rows of one id and text are one place and are treated alike. Columns named
     like the results are replaced. An empty table gives an empty result.
     """
     base = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_removed", "_text_hash", "_gone")])
     source = base.select("doc_id", F.col("text").cast("string").alias("text"))
-    repeated = bounded(repeated_lines(source, edits, min_chars), BROADCAST_ROWS)
-    placed = lines_of(source, min_chars).select(line_key(F.col("line")).alias("id"), "doc_id", "h", "line_no").join(repeated, "id")
+    repeated = bounded(repeated_lines(source, edits, min_chars, exact_chars), BROADCAST_ROWS)
+    placed = lines_of(source, min_chars, exact_chars).select(line_key(F.col("line")).alias("id"), "doc_id", "h", "line_no").join(repeated, "id")
     here = F.col("keep.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keep.h") == F.col("h")) & (F.col("keep.line_no") == F.col("line_no"))
     gone = placed.where(~here).groupBy("doc_id", F.col("h").alias("_text_hash")).agg(F.collect_set("line_no").alias("_gone"))
     gone = bounded(stored(gone, "gone"), BROADCAST_ROWS)

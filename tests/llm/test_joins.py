@@ -204,3 +204,12 @@ def test_dedup_lines(spark):
     assert {x.doc_id: x.text for x in rows} == want and len(rows) == len(docs)
     assert sum(x.n_removed for x in rows) == sum(t.count("\n") + 1 for _, t in docs if t is not None) - sum(x.n_lines - x.n_removed for x in rows)
     assert E.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_dedup_short_lines(spark):
+    docs = [(1, "Licensed under MIT.\none line that is quite long\n \nx"), (2, "a\nLicensed under MIT.\nLicensed under BSD.\none line that is quite lung\n \nx"), (3, "Licensed under MIT.\n\na\n\n"), (4, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x.doc_id: (x.text, x.n_removed) for x in E.dedup_lines(df, 2, 20, 1).collect()}
+    assert got == {1: (docs[0][1], 0), 2: ("a\nLicensed under BSD.\n ", 3), 3: ("\n\n", 2), 4: (None, 0)}
+    got = {x.doc_id: x.text for x in E.dedup_lines(df, 2, 20, 5).collect()}
+    assert got[2] == "a\nLicensed under BSD.\n \nx" and got[3] == "\na\n\n"
