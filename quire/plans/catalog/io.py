@@ -43,16 +43,35 @@ def stored(spark, sf) -> DataFrame:
 def s1(spark, sf):
     path = scratch(spark)
     D.write_publications(stored(spark, sf), path, "2024-01-01")
-    good, _ = D.read_publications(spark, f"{path}/publications")
+    good, _ = D.read_publications(spark, f"{D.current_folder(spark, path)}/publications")
     return good.select("id", "title", F.get("authors", F.lit(0))["literal"].alias("author"), F.col("created_date").cast("string").alias("created"))
 
 
+@query("s1_read_documents", """SELECT p_partkey::VARCHAR AS id, p_name AS title, CASE WHEN p_size % 4 = 0 THEN 0 ELSE 1 END AS editors, CASE WHEN p_size % 4 = 0 THEN 1 ELSE 2 END AS version,
+    row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS place FROM part""")
+def s1_documents(spark, sf):
+    """Exchange files, one for each size of part: bare lists of version 1 without editors, or metadata and publications."""
+    path, old = scratch(spark), F.col("volume").cast("int") % 4 == 0
+    p = stored(spark, sf).withColumn("created_date", F.col("created_date").cast("string")).withColumn("editors", F.when(~old, F.col("authors")))
+    shape = {"ignoreNullFields": "false"}
+    version1 = F.to_json(F.struct(*[c for c in p.columns if c != "editors"]), shape)
+    listed = p.select("volume", F.struct(F.col("id").cast("long").alias("key"), F.when(old, version1).otherwise(F.to_json(F.struct(*p.columns), shape)).alias("record")).alias("r"), old.alias("old"))
+    files = listed.groupBy("volume", "old").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["record"]), ",").alias("records"))
+    text = F.when(F.col("old"), F.concat(F.lit("["), "records", F.lit("]"))).otherwise(
+        F.concat(F.lit('{"metadata":{"schema_version":2},"publications":['), "records", F.lit("]}")))
+    files.select(text.alias("value"), "volume").repartition("volume").write.partitionBy("volume").text(path)
+    records = D.read_records(spark, f"{path}/*", "document").withColumn("version", F.col("schema_version"))
+    good = D.validate_publications(records)[0].join(records.select("ord", "version"), "ord")
+    return good.select("id", "title", F.size("editors").alias("editors"), "version", (F.col("ord.line") + 1).alias("place"))
+
+
 @query("s2_write_publications", "SELECT 2 AS schema_version, '2024-01-01' AS last_update, count(*) AS publications FROM part")
 def s2(spark, sf):
     path = scratch(spark)
     D.write_publications(stored(spark, sf), path, "2024-01-01")
-    meta = spark.read.schema("schema_version int, last_update string").json(f"{path}/metadata")
-    n = spark.read.text(f"{path}/publications").agg(F.count("*").alias("publications")).scalar()
+    now = D.current_folder(spark, path)
+    meta = spark.read.schema("schema_version int, last_update string").json(f"{now}/metadata")
+    n = spark.read.text(f"{now}/publications").agg(F.count("*").alias("publications")).scalar()
     return meta.withColumn("publications", n)
 
 
@@ -158,14 +177,14 @@ def s14(spark, sf):
     path, m = scratch(spark), site_mapping(spark, sf)
     p = site_pubs(spark, sf).filter("publication_year <> 'n.d.'")
     D.write_site_tables(p, *S.memberships(p, m), path, "2024-01-01")
-    return spark.read.parquet(f"{path}/years").groupBy(F.col("year").cast("string").alias("year")).agg(F.count("*").alias("n"))
+    return D.read_version(spark, path, "years").groupBy(F.col("year").cast("string").alias("year")).agg(F.count("*").alias("n"))
 
 
 @query("s15_write_if_changed", "SELECT count(*) AS n, true AS first, false AS again, true AS changed FROM part")
 def s15(spark, sf):
     path, p = scratch(spark), V.table(spark, sf, "part")
     wrote = [D.write_if_changed(p, path), D.write_if_changed(p.repartition(3), path), D.write_if_changed(p.withColumn("p_size", F.col("p_size") + 1), path)]
-    return spark.read.parquet(path).agg(F.count("*").alias("n")).select("n", *[F.lit(w).alias(k) for w, k in zip(wrote, ("first", "again", "changed"))])
+    return D.read_version(spark, path).agg(F.count("*").alias("n")).select("n", *[F.lit(w).alias(k) for w, k in zip(wrote, ("first", "again", "changed"))])
 
 
 # -- streams ---------------------------------------------------------------------------
@@ -181,12 +200,27 @@ def x1(spark, sf):
     events = _stream(spark, sf, "events").select(key, F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("text"))
     known = V.table(spark, sf, "events").filter("event_type = 'signup'").select(key).distinct()
     path = scratch(spark)
-    out = J.screen_stream(events, known, ["click"], ["err.r"], delay="60 days").select("doi", "outcome")
+    out = J.screen_stream(events, known, ["click"], ["err.r"]).select("doi", "outcome")
     q = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/ckpt").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema("doi string, outcome string").parquet(f"{path}/out")
 
 
+@query("x1_late_rows", """WITH e AS (SELECT event_id, ts, event_type, user_id % 3 AS part FROM events), m AS (SELECT part, max(ts) AS newest FROM e GROUP BY part)
+    SELECT '10.1/e' || event_id AS doi, CASE WHEN event_type = 'click' THEN 'queued' WHEN event_type = 'error' THEN 'rejected' ELSE 'review' END AS outcome,
+      coalesce(ts < (SELECT max(newest) FROM m WHERE m.part < e.part) - INTERVAL 10 DAY, false) AS late FROM e""")
+def x1_late(spark, sf):
+    """Three batches whose times overlap; the later ones repeat some rows of the first."""
+    path, part = scratch(spark), F.col("user_id") % 3
+    rows = V.table(spark, sf, "events").select(V.doi("10.1/e", "event_id").alias("doi"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("text"), "user_id", "event_id")
+    for k in range(3):  # files are taken in the order of their time, one for each batch
+        rows.filter((part == k) | ((part == 0) & (F.col("event_id") % 5 == k))).select("doi", "ts", "text").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema("doi string, ts timestamp, text string").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    J.screen_into(stream, rows.select("doi").limit(0), ["click"], ["err.r"], f"{path}/out", f"{path}/ckpt", "10 days").awaitTermination()
+    both = [J.arrivals(spark, f"{path}/out", late).select("doi", "outcome", F.lit(late).alias("late")) for late in (False, True)]
+    return both[0].unionByName(both[1])
+
+
 @query("x2_merge_stream", """WITH c AS (SELECT * FROM customer) SELECT '10.1/c' || c_custkey AS doi, CASE WHEN c_acctbal > 5000 THEN upper(c_name) ELSE c_name END AS title FROM c WHERE c_acctbal > 1000 AND c_nationkey < 20
     UNION ALL SELECT '10.1/c' || c_custkey, c_name FROM c WHERE c_acctbal <= 1000 AND c_nationkey < 20 AND c_mktsegment <> 'BUILDING'""")
 def x2(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quire.functions.identity import parse_token, token_text
 from quire.functions.text import collapse, strip
 from quire.operators.sets import dedupe_first
+from quire.sources.versions import Part, current_folder, publish
 
 _PERSON = "struct<given:string,family:string,literal:string,source_fields:map<string,string>>"
 PUBLICATION_SCHEMA = f"""id string, identifiers map<string,string>, type string, title string, authors array<{_PERSON}>, editors array<{_PERSON}>,
@@ -16,21 +17,31 @@ _STRINGS = ["id", "type", "title", "abstract", "container_title", "publication_y
 _REQUIRED = _STRINGS + ["identifiers", "authors", "keywords", "created_date", "references"]
 
 
+def line_order() -> Column:
+    """Place of a line among all files read: file, begin of the split in it, line of the split.
+
+    Splits of one file ascend with their begin and a task numbers the lines of a split in order, so
+    the comparison of two places does not depend on how files are cut and packed into tasks.
+    """
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+
+
 def read_records(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
-    """``(ord, schema_version, record)`` with one JSON text per publication.
+    """``(ord, schema_version, record)`` with one JSON text per publication; ``ord`` sorts in the order of files and records.
 
     ``lines`` is the layout for large data: splittable, one record per line, version 2.
     ``document`` reads whole exchange files: a bare list (version 1) or metadata plus publications.
+    Each file is one task's work there; a file that is neither has no records.
     """
     if layout == "lines":
-        rows = spark.read.text(path).filter(F.trim("value") != "")
-        return rows.select(F.monotonically_increasing_id().alias("ord"), F.lit(2).alias("schema_version"), F.col("value").alias("record"))
-    docs = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("doc"))
-    docs = docs.select("doc", F.try_variant_get("doc", "$.publications", "array<variant>").alias("pubs"),
+        rows = spark.read.text(path).select(line_order().alias("ord"), "value").filter(F.trim("value") != "")
+        return rows.select("ord", F.lit(2).alias("schema_version"), F.col("value").alias("record"))
+    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("doc"))
+    docs = docs.select("file", "doc", F.try_variant_get("doc", "$.publications", "array<variant>").alias("pubs"),
                        F.try_variant_get("doc", "$", "array<variant>").alias("bare"),
                        F.try_variant_get("doc", "$.metadata.schema_version", "int").alias("version"))
-    return docs.select(F.coalesce("version", F.lit(1)).alias("schema_version"), F.posexplode(F.coalesce("pubs", "bare")).alias("pos", "v")).select(
-        F.col("pos").cast("long").alias("ord"), "schema_version", F.to_json("v").alias("record"))
+    return docs.select("file", F.coalesce("version", F.lit(1)).alias("schema_version"), F.posexplode(F.coalesce("pubs", "bare")).alias("pos", "v")).select(
+        F.struct("file", F.lit(0).cast("long").alias("start"), F.col("pos").cast("long").alias("line")).alias("ord"), "schema_version", F.to_json("v").alias("record"))
 
 
 def _kind(path: str) -> Column:
@@ -71,19 +82,23 @@ def read_publications(spark: SparkSession, path: str, layout: str = "lines") ->
     return validate_publications(read_records(spark, path, layout))
 
 
-def write_publications(pubs: DataFrame, path: str, last_update: str) -> None:
-    """Publications as JSON lines plus a one-row metadata table."""
+def write_publications(pubs: DataFrame, path: str, last_update: str) -> bool:
+    """Publications as JSON lines plus a one-row metadata table, as a new version; returns whether the content is new.
+
+    Without a change the former version stays with its date.
+    """
     shape = sorted(_REQUIRED + ["editors"])
     cols = [F.col(c).cast("string").alias(c) if c == "created_date" else F.col(c) for c in shape]
     record = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
-    pubs.select(record.alias("value")).write.mode("overwrite").text(f"{path}/publications")
     meta = pubs.sparkSession.range(1).select(F.lit(2).alias("schema_version"), F.lit(last_update).alias("last_update"))
-    meta.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+    return publish(pubs.sparkSession, path, {
+        "publications": Part(pubs.select(record.alias("value")), lambda df, to: df.write.text(to)),
+        "metadata": Part(meta.coalesce(1), lambda df, to: df.write.json(to), about=True)})
 
 
 def read_tokens(spark: SparkSession, path: str, kinds: list[str] | None = None, legacy: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Typed tokens ``(ord, kind, value)``, first occurrence kept, and bad lines. Blank and # lines are skipped."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), strip("value").alias("line"))
+    """Typed tokens ``(ord, kind, value)``, first occurrence in the order of files and lines kept, and bad lines. Blank and # lines are skipped."""
+    lines = spark.read.text(path).select(line_order().alias("ord"), strip("value").alias("line"))
     lines = lines.filter((F.col("line") != "") & ~F.col("line").startswith("#")).withColumn("t", parse_token("line", kinds, legacy))
     good = dedupe_first(lines.filter("t IS NOT NULL").select("ord", "t.kind", "t.value"), "kind", "value")
     return good, lines.filter("t IS NULL").select("ord", "line")
@@ -128,36 +143,33 @@ def read_feed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.filter("updated IS NOT NULL"), rows.filter("updated IS NULL")
 
 
-def feed_is_empty(entries: DataFrame) -> bool:
-    """An empty feed must not replace a stored one."""
-    return entries.isEmpty()
-
-
-def _content(df: DataFrame) -> tuple[int, int]:
-    h = F.xxhash64(F.to_json(F.struct(*sorted(df.columns)))).cast("decimal(38,0)")
-    row = df.agg(F.count("*").alias("n"), F.sum(h).alias("h")).first()
-    return row["n"], int(row["h"] or 0)
-
-
-def write_if_changed(df: DataFrame, path: str) -> bool:
+def write_if_changed(df: DataFrame, path: str, allow_empty: bool = True) -> bool:
     """Write a new version of a Parquet table only when its content differs; returns whether it wrote.
 
-    Only a count and a hash sum reach the driver.
+    The content is digested while it is written, so ``df`` is computed once, and a write that fails
+    leaves the former version readable; ``read_version`` reads the current one. With ``allow_empty`` off
+    an empty table, such as a feed that failed, does not replace a stored one.
     """
-    spark = df.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder) and _content(spark.read.parquet(path)) == _content(df):
+    if not allow_empty and df.isEmpty():
         return False
-    df.write.mode("overwrite").parquet(path)
-    return True
+    return publish(df.sparkSession, path, {"data": Part(df, lambda rows, to: rows.write.parquet(to))})
+
+
+def read_version(spark: SparkSession, path: str, part: str = "data") -> DataFrame:
+    """A Parquet part of the current version under ``path``."""
+    return spark.read.parquet(f"{current_folder(spark, path)}/{part}")
 
 
-def write_site_tables(pubs: DataFrame, by_author: DataFrame, by_year: DataFrame, path: str, generated: str) -> None:
-    """Index tables: publications by year, memberships sorted within their partitions, one metadata row."""
+def write_site_tables(pubs: DataFrame, by_author: DataFrame, by_year: DataFrame, path: str, generated: str) -> bool:
+    """Index tables as one new version: publications by year, memberships sorted within their partitions, one metadata row.
+
+    Returns whether the content is new; without a change the former version stays with its date.
+    """
     newest = [F.desc(c) for c in ("created_date", "publication_year", "title", "permalink")]
-    pubs.write.mode("overwrite").partitionBy("publication_year").parquet(f"{path}/publications")
-    by_author.repartitionByRange("slug", F.desc("created_date")).sortWithinPartitions("slug", *newest).write.mode("overwrite").parquet(f"{path}/authors")
-    by_year.repartitionByRange("year", F.desc("created_date")).sortWithinPartitions("year", *newest).write.mode("overwrite").partitionBy("year").parquet(f"{path}/years")
+    by = lambda *keys: lambda df, to: df.write.partitionBy(*keys).parquet(to)
     meta = pubs.agg(F.count("*").alias("publications")).withColumn("generated", F.lit(generated))
-    meta.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
-
+    return publish(pubs.sparkSession, path, {
+        "publications": Part(pubs, by("publication_year")),
+        "authors": Part(by_author.repartitionByRange("slug", F.desc("created_date")).sortWithinPartitions("slug", *newest), lambda df, to: df.write.parquet(to)),
+        "years": Part(by_year.repartitionByRange("year", F.desc("created_date")).sortWithinPartitions("year", *newest), by("year")),
+        "metadata": Part(meta.coalesce(1), lambda df, to: df.write.json(to), about=True)})
