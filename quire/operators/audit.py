@@ -7,14 +7,12 @@ so every window and group over (publication, field) is bounded by the number of
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql import types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from quire.functions.markup import clean_provider_abstract
 from quire.functions.names import contribs_compatible, contribs_same_set, name_parts
+from quire.functions.sequences import similar, similar_udf
 from quire.functions.staging import stage
 from quire.functions.text import (
     _JOIN, _after_unicode, _before_unicode, display_name, nfkc, one_day_apart, strip, unescape_entities,
@@ -53,42 +51,37 @@ def norm_by_field(field: Column, arr: Column) -> Column:
 
 
 def _forms(field: Column, arr: Column, norm: Column) -> Column:
-    people = field.isin("authors", "editors")
-    forms = F.zip_with(norm, arr, lambda n, raw: F.struct(
-        n.alias("norm"), name_parts(raw)["given"].alias("given"), name_parts(raw)["family"].alias("family")))
-    return F.when(people, forms)
+    forms = F.zip_with(norm, F.transform(arr, name_parts), lambda n, p: F.struct(n.alias("norm"), p["given"].alias("given"), p["family"].alias("family")))
+    return F.when(field.isin("authors", "editors"), forms)
+
 
+# Least similarity of near-equal texts, and of their lengths.
+NEAR, NEAR_LENGTH = 0.98, 0.95
+_near_udf = similar_udf(NEAR)
+_near_tokens_udf = similar_udf(NEAR, tokens=True)
 
-@F.pandas_udf(T.BooleanType())
-def _near_udf(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Sequence match of at least 0.98; cheap upper bounds are tried first."""
-    def near(a, b):
-        if a is None or b is None:
-            return None
-        m = SequenceMatcher(None, a, b)
-        return m.real_quick_ratio() >= 0.98 and m.quick_ratio() >= 0.98 and m.ratio() >= 0.98
 
-    return pd.Series([near(a, b) for a, b in zip(left, right)], dtype="object")
+def _compact(c: Column) -> Column:
+    return F.regexp_replace(c, r"[^\p{L}\p{N}_]+", "")
 
 
-@F.pandas_udf(T.BooleanType())
-def _near_tokens_udf(left: pd.Series, right: pd.Series) -> pd.Series:
-    def near(a, b):
-        if a is None or b is None:
-            return None
-        return SequenceMatcher(None, list(a), list(b)).ratio() >= 0.98
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _near_pairs(texts: pd.Series) -> pd.Series:
+    """Pairs ``i < j`` of near texts in each list, as ``i * n + j``; null texts are near to nothing."""
+    def pairs(own):
+        near = lambda a, b: min(len(a), len(b)) >= NEAR_LENGTH * max(len(a), len(b)) and similar(a, b, NEAR)
+        return [i * len(own) + j for j, b in enumerate(own) for i, a in enumerate(own[:j]) if a and b and a != b and near(a, b)]
 
-    return pd.Series([near(a, b) for a, b in zip(left, right)], dtype="object")
+    return pd.Series([None if t is None else pairs(list(t)) for t in texts], dtype="object")
 
 
 def with_near(df: DataFrame, a: Column, b: Column, out: str) -> DataFrame:
     """Add ``out``: normalised abstracts differ only marginally. Guards keep other pairs inside the JVM."""
-    compact = lambda c: F.regexp_replace(c, r"[^\p{L}\p{N}_]+", "")
     df = stage(df, _a=F.nullif(a, F.lit("")), _b=F.nullif(b, F.lit("")))
     a, b = F.col("_a"), F.col("_b")
     la, lb = F.length(a), F.length(b)
-    df = stage(df, _eqc=F.coalesce(compact(a) == compact(b), F.lit(False)),
-               _close=F.coalesce(F.least(la, lb) / F.greatest(la, lb) >= 0.95, F.lit(False)))
+    df = stage(df, _eqc=F.coalesce(_compact(a) == _compact(b), F.lit(False)),
+               _close=F.coalesce(F.least(la, lb) / F.greatest(la, lb) >= NEAR_LENGTH, F.lit(False)))
     ask = F.col("_close") & ~F.col("_eqc")
     df = df.withColumn("_n", _near_udf(F.when(ask, a), F.when(ask, b)))
     return df.withColumn(out, F.col("_eqc") | F.coalesce("_n", F.lit(False))).drop("_a", "_b", "_eqc", "_close", "_n")
@@ -108,12 +101,21 @@ def with_truncation(df: DataFrame, canon: Column, prov: Column, out: str) -> Dat
         "_c", "_p", "_short", "_fits", "_head", "_exact", "_n")
 
 
+def with_canonical_forms(df: DataFrame, value: str) -> DataFrame:
+    """Add ``canon_norm`` and ``canon_forms`` of the canonical values in column ``value``."""
+    df = stage(df, canon_norm=norm_by_field(F.col("field"), F.col(value)))
+    return stage(df, canon_forms=_forms(F.col("field"), F.col(value), F.col("canon_norm")))
+
+
 def classify(df: DataFrame) -> DataFrame:
     """Add ``classification`` to rows with field, canonical_value, provider_value and is_identity.
 
     Also leaves the comparison forms (``canon_norm``, ``prov_norm``, ``canon_forms``,
-    ``prov_forms``) for the operators that follow. Sequence matching comes last.
+    ``prov_forms``) for the operators that follow; canonical forms that are there already (see
+    ``with_canonical_forms``) are used. Sequence matching comes last.
     """
+    if "canon_norm" not in df.columns:
+        df = with_canonical_forms(df, "canonical_value")
     field = F.col("field")
     raw = F.get(F.col("provider_value"), F.lit(0))
     df = df.withColumn("_pa", F.when((field == "abstract") & (strip(raw) != ""), raw))
@@ -122,9 +124,8 @@ def classify(df: DataFrame) -> DataFrame:
     df = stage(df, _refused=F.coalesce(refused, F.lit(False)),
                _prov=F.when(F.col("_pa").isNotNull() & ~F.coalesce(refused, F.lit(False)), F.array("_clean.normalized"))
                .otherwise(F.col("provider_value"))).drop("_clean", "_pa")
-    df = stage(df, canon_norm=norm_by_field(field, F.col("canonical_value")), prov_norm=norm_by_field(field, F.col("_prov")))
-    df = stage(df, canon_forms=_forms(field, F.col("canonical_value"), F.col("canon_norm")),
-               prov_forms=_forms(field, F.col("_prov"), F.col("prov_norm")),
+    df = stage(df, prov_norm=norm_by_field(field, F.col("_prov")))
+    df = stage(df, prov_forms=_forms(field, F.col("_prov"), F.col("prov_norm")),
                _no_canon=is_empty(F.col("canonical_value")), _no_prov=is_empty(F.col("_prov")))
     no_canon, no_prov = F.col("_no_canon"), F.col("_no_prov")
     df = stage(df, _same=(F.col("canon_norm") == F.col("prov_norm")) | F.coalesce(
@@ -144,9 +145,14 @@ def compare(canon_long: DataFrame, prov_long: DataFrame) -> tuple[DataFrame, Dat
     """``(comparisons, provider issues, violations)``. Identifier fields are named ``identifiers.<name>``."""
     known = F.col("field").isin(AUDIT_FIELDS) | F.col("field").startswith("identifiers.")
     available = prov_long.filter("status = 'available'")
-    canon = canon_long.select("publication_id", "field", F.col("value").alias("canonical_value"))
+    # canonical values are brought into their forms once, before they meet their providers
+    canon = with_canonical_forms(canon_long.select("publication_id", "field", F.col("value").alias("canonical_value")), "canonical_value")
     rows = available.filter(known).withColumnRenamed("value", "provider_value").join(canon, ["publication_id", "field"], "left")
-    rows = rows.withColumn("canonical_value", F.coalesce("canonical_value", F.array(F.lit(""))))
+    none = F.array(F.lit(""))
+    nobody = F.array(F.struct(F.lit("").alias("norm"), F.array().cast("array<string>").alias("given"), F.array().cast("array<string>").alias("family")))
+    rows = rows.withColumns({
+        "canonical_value": F.coalesce("canonical_value", none), "canon_norm": F.coalesce("canon_norm", none),
+        "canon_forms": F.coalesce("canon_forms", F.when(F.col("field").isin("authors", "editors"), nobody))})
     rows = rows.withColumn("is_identity", F.col("field").startswith("identifiers.") & ~is_empty(F.col("canonical_value")))
     issues = prov_long.filter("status <> 'available'").select(
         "publication_id", "provider", F.col("status").alias("classification"), "detail").distinct()
@@ -162,17 +168,50 @@ def reclassify(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     return after, summary
 
 
-def _equivalent_to_first(df: DataFrame, group: list[str], norm: str, forms: str, raw: str, order: str) -> DataFrame:
-    """Add ``same_as_first``: the row's value equals, or is close to, the first one of its group."""
-    w = Window.partitionBy(*group).orderBy(order)
-    df = df.withColumn("_first", F.first(F.struct(F.col(norm).alias("norm"), F.col(forms).alias("forms"), F.col(raw).alias("raw"))).over(w))
-    people = F.col("field").isin("authors", "editors")
-    same = (F.col(raw) == F.col("_first.raw")) | (F.col(norm) == F.col("_first.norm")) | F.coalesce(
-        F.when(people, contribs_compatible(F.col(forms), F.col("_first.forms"))), F.lit(False))
-    df = stage(df, _eq=same)
-    pick = lambda c: F.when((F.col("field") == "abstract") & ~F.col("_eq"), F.get(c, F.lit(0)))
-    df = with_near(df, pick(F.col(norm)), pick(F.col("_first.norm")), "_nf")
-    return df.withColumn("same_as_first", F.col("_eq") | F.col("_nf")).drop("_first", "_eq", "_nf")
+_AGREES = ("equal", "formatting-only")
+
+
+def _entries(comparisons: DataFrame, *extra: Column) -> DataFrame:
+    """One row per (publication, field) with its comparisons in provider order as ``e``: as many as there are providers."""
+    c = F.col
+    entry = F.struct("p_ord", "provider", c("provider_value").alias("value"), c("classification").alias("cls"), c("prov_norm").alias("norm"), c("prov_forms").alias("forms"),
+                     ((c("classification") != "provider-review-required") & ~is_empty(c("provider_value"))).alias("given"), *extra)
+    return comparisons.groupBy("publication_id", "field").agg(
+        F.sort_array(F.collect_list(entry)).alias("e"), F.first("canonical_value").alias("canonical_value"), F.first("is_list").alias("is_list"),
+        *([F.first("_ed").alias("_ed")] if "_ed" in comparisons.columns else []))
+
+
+def _with_equivalences(groups: DataFrame) -> DataFrame:
+    """Add ``_eq``: the pairs ``i < j`` of entries with equivalent values, as ``i * n + j``.
+
+    Values are equivalent if they or their comparison forms are equal, if they are lists of
+    compatible people, or if they are near-equal abstracts. Only abstracts with several forms leave the JVM.
+    """
+    e, n = F.col("e"), F.size("e")
+    people, text = F.col("field").isin("authors", "editors"), F.col("field") == "abstract"
+    form = lambda x: F.when(x["given"], F.get(x["norm"], F.lit(0)))
+    several = text & (F.size(F.array_distinct(F.transform(e, form))) > 1)
+    groups = stage(groups, _texts=F.when(several, F.transform(e, form)))
+    groups = groups.withColumn("_found", _near_pairs("_texts"))
+    compact = F.transform("_texts", lambda x: F.nullif(_compact(x), F.lit("")))
+    groups = stage(groups, _compact=compact, _near=F.coalesce("_found", F.array().cast("array<int>")))
+
+    def same(i: Column, j: Column) -> Column:
+        a, b = F.get(e, i), F.get(e, j)
+        return (a["value"] == b["value"]) | (a["norm"] == b["norm"]) | F.coalesce(
+            F.when(people, contribs_compatible(a["forms"], b["forms"])).when(
+                several, F.array_contains("_near", i * n + j) | F.coalesce(F.get(F.col("_compact"), i) == F.get(F.col("_compact"), j), F.lit(False))), F.lit(False))
+
+    up_to = lambda k: F.filter(F.sequence(F.lit(0), F.greatest(k, F.lit(0))), lambda x: x < k)
+    pairs = F.flatten(F.transform(up_to(n), lambda j: F.transform(F.filter(up_to(j), lambda i: same(i, j)), lambda i: i * n + j)))
+    return stage(groups, _eq=pairs).drop("_texts", "_found", "_near", "_compact")
+
+
+def _split(e: Column, pairs: Column) -> Column:
+    """Several entries give values, and not all are equivalent to the first of them."""
+    given = F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda i: F.get(e, i)["given"])
+    first = F.get(given, F.lit(0))
+    return (F.size(given) > 1) & F.exists(given, lambda j: (j > first) & ~F.array_contains(pairs, first * F.size(e) + j))
 
 
 def disagreements(comparisons: DataFrame) -> DataFrame:
@@ -181,13 +220,9 @@ def disagreements(comparisons: DataFrame) -> DataFrame:
     More than one class of equivalent values exists exactly when some value differs from the
     first one, so each value is compared with the first only.
     """
-    rows = comparisons.filter((F.col("classification") != "provider-review-required") & ~is_empty(F.col("provider_value")))
-    rows = _equivalent_to_first(rows, ["publication_id", "field"], "prov_norm", "prov_forms", "provider_value", "p_ord")
-    return rows.groupBy("publication_id", "field").agg(
-        F.count("*").alias("n"), F.bool_or(~F.col("same_as_first")).alias("split"),
-        F.sort_array(F.collect_list(F.struct("p_ord", "provider", "provider_value"))).alias("values"),
-        F.first("is_list").alias("is_list"),
-    ).filter("n >= 2 AND split").drop("n", "split")
+    groups = _with_equivalences(_entries(comparisons))
+    values = F.transform(F.filter("e", lambda x: x["given"]), lambda x: F.struct(x["p_ord"].alias("p_ord"), x["provider"].alias("provider"), x["value"].alias("provider_value")))
+    return groups.filter(_split(F.col("e"), F.col("_eq"))).select("publication_id", "field", values.alias("values"), "is_list")
 
 
 def stored_disagreements(comparisons: DataFrame) -> DataFrame:
@@ -197,80 +232,88 @@ def stored_disagreements(comparisons: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.size(F.collect_set("prov_norm")).alias("forms")).filter("n >= 2 AND forms > 1")
 
 
+def _united(e: Column, able: Column, joined) -> Column:
+    """For each entry the first of its finding: the earliest one that starts a finding and is ``joined(i, j)`` with it; -1 where ``able`` is false."""
+    start = F.array().cast("array<int>")
+
+    def step(labels: Column, j: Column) -> Column:
+        heads = F.filter(F.transform(labels, lambda label, i: F.when(label == i, i)), lambda i: i.isNotNull() & joined(i, j))
+        return F.concat(labels, F.array(F.when(F.get(able, j), F.coalesce(F.get(heads, F.lit(0)), j)).otherwise(F.lit(-1)).cast("int")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(e) - 1), start, step)
+
+
 def review_findings(comparisons: DataFrame) -> DataFrame:
     """Findings for human review with their actionability.
 
     Equal and provider-missing pairs are dropped, an author list of an editor-only record
     becomes a role finding, year and venue differences vanish if another provider confirms
-    the canonical value, equal alternatives of several providers are united, and what two
-    providers agree on without a confirming third is actionable. ``comparisons`` is read three
-    times: hand in a written or checkpointed table.
+    the canonical value, equivalent alternatives of several providers are united under the first of
+    them, and what two providers agree on without a confirming third is actionable.
+    ``comparisons`` is read once and dealt by publication; the comparisons of a field meet in one
+    array, as many as there are providers, and all its findings come from that array.
     """
     c = F.col
-    pub = Window.partitionBy("publication_id")
-    fld = Window.partitionBy("publication_id", "field")
-    agrees = c("classification").isin("equal", "formatting-only")
-    editors = F.when((c("field") == "editors") & ~is_empty(c("canonical_value")), F.struct("canonical_value", "canon_forms"))
-    rows = comparisons.withColumn("_ed", F.first(editors, ignorenulls=True).over(pub))
-    rows = rows.withColumn("_supported", F.max(agrees).over(fld))
-    rows = rows.withColumn("_confirm", F.collect_set(F.when(agrees & ~is_empty(c("provider_value")), c("provider"))).over(fld))
-    rows = rows.filter(~c("classification").isin("equal", "formatting-only", "provider-missing"))
-    role = (c("field") == "authors") & (c("classification") == "canonical-missing") & c("_ed").isNotNull()
-    muted = (c("classification") == "substantive-difference") & c("field").isin("publication_year", "container_title") & c("_supported")
-
-    roles = rows.filter(role).select(
-        "publication_id", F.lit("contributors").alias("field"), F.lit("role-disagreement").alias("classification"),
-        F.array("provider").alias("providers"), c("_ed.canonical_value").alias("canonical_value"),
-        F.array(F.struct("provider", c("provider_value").alias("value"))).alias("provider_values"), F.lit(False).alias("actionable"),
-        F.when(contribs_same_set(c("_ed.canon_forms"), c("prov_forms")), "provider authors match canonical editors")
-        .otherwise("provider reports authors for canonical editor-only record").alias("detail"))
-
-    plain = rows.filter(~role & ~muted)
     first = lambda x: F.get(c(x), F.lit(0))
-    plain = plain.withColumn("_day", (c("field") == "created_date") & one_day_apart(first("canonical_value"), first("provider_value")))
     is_text = (c("field") == "abstract") & (c("classification") == "substantive-difference")
-    plain = with_truncation(plain, F.when(is_text, first("canon_norm")), F.when(is_text, first("prov_norm")), "_cut")
-    loose = lambda a: F.transform(c(a), lambda x: F.when(c("field").isin("title", "abstract"), F.regexp_replace(
-        F.regexp_replace(x, r"(?U)\s*-\s*", "-"), r"(?U)\s+([,.;:!?])", "$1")).otherwise(x))
-    plain = stage(plain, _key=F.to_json(F.struct(loose("canon_norm").alias("a"), loose("prov_norm").alias("b"))))
-    plain = _equivalent_to_first(plain, ["publication_id", "field", "classification"], "prov_norm", "prov_forms", "provider_value", "p_ord")
-    kind = (F.when(c("classification") == "provider-review-required", c("provider"))
-            .when(c("same_as_first"), F.lit("first")).otherwise(c("_key")))
-    merged = plain.groupBy("publication_id", "field", "classification", kind.alias("_kind")).agg(
-        F.sort_array(F.collect_list(F.struct("p_ord", "provider", "provider_value"))).alias("v"),
-        F.min_by("canonical_value", "p_ord").alias("canonical_value"),
-        F.bool_or("_day").alias("_day"), F.bool_and("_cut").alias("_cut"), F.first("_confirm").alias("_confirm"))
-    providers = F.array_distinct(F.transform("v", lambda x: x["provider"]))
-    merged = merged.withColumn("providers", providers)
-    n = F.size("providers")
-    others = F.size(F.array_except("_confirm", "providers")) > 0
-    missing_row = (c("field") == "publication_id") & (c("classification") == "identity-problem")
+    rows = with_truncation(comparisons, F.when(is_text, first("canon_norm")), F.when(is_text, first("prov_norm")), "_cut")
+    editors = F.when((c("field") == "editors") & ~is_empty(c("canonical_value")), F.struct("canonical_value", "canon_forms"))
+    rows = rows.withColumn("_ed", F.first(editors, ignorenulls=True).over(Window.partitionBy("publication_id")))
+    day = (c("field") == "created_date") & one_day_apart(first("canonical_value"), first("provider_value"))
+    groups = _with_equivalences(_entries(rows, day.alias("day"), c("_cut").alias("cut")))
+
+    e, n, field = c("e"), F.size("e"), c("field")
+    agrees = lambda x: x["cls"].isin(*_AGREES)
+    titled = field.isin("title", "abstract")
+    loose = lambda x: F.when(titled & x["given"], F.transform(x["norm"], lambda t: F.regexp_replace(
+        F.regexp_replace(t, r"(?U)\s*-\s*", "-"), r"(?U)\s+([,.;:!?])", "$1")))
+    groups = stage(groups, _supported=F.exists(e, agrees), _loose=F.transform(e, loose),
+                   _confirm=F.array_distinct(F.transform(F.filter(e, lambda x: agrees(x) & ~is_empty(x["value"])), lambda x: x["provider"])))
+    role = lambda x: (field == "authors") & (x["cls"] == "canonical-missing") & c("_ed").isNotNull()
+    muted = lambda x: (x["cls"] == "substantive-difference") & field.isin("publication_year", "container_title") & c("_supported")
+    plain = F.transform(e, lambda x: ~agrees(x) & (x["cls"] != "provider-missing") & ~role(x) & ~muted(x))
+    editorial = F.transform(e, lambda x: F.when(role(x), F.when(
+        contribs_same_set(c("_ed.canon_forms"), x["forms"]), "provider authors match canonical editors").otherwise("provider reports authors for canonical editor-only record")))
+    groups = stage(groups, _plain=plain, _role=editorial)
+    at = lambda i: F.get(e, i)
+    equivalent = lambda i, j: F.array_contains("_eq", i * n + j) | F.coalesce(F.get(c("_loose"), i) == F.get(c("_loose"), j), F.lit(False))
+    # only findings of one class, or roles with one remark and one form, are united
+    groups = stage(
+        groups,
+        _of=_united(e, c("_plain"), lambda i, j: (at(i)["cls"] == at(j)["cls"]) & (at(i)["cls"] != "provider-review-required") & equivalent(i, j)),
+        _role_of=_united(e, F.transform("_role", lambda r: r.isNotNull()), lambda i, j: (F.get(c("_role"), i) == F.get(c("_role"), j)) & (at(i)["norm"] == at(j)["norm"])))
+
+    shape = lambda members: F.transform(members, lambda x: F.struct(x["provider"].alias("provider"), x["value"].alias("value")))
+    names = lambda members: F.array_distinct(F.transform(members, lambda x: x["provider"]))
     judge = lambda ok, why: F.struct(F.lit(ok).alias("actionable"), (why if isinstance(why, Column) else F.lit(why)).alias("detail"))
-    verdict = (
-        F.when(c("classification") == "provider-review-required", judge(False, "provider abstract holds unsupported markup"))
-        .when(missing_row, judge(True, "canonical publication is missing"))
-        .when(c("_day"), judge(False, "created_date differs by one day"))
-        .when(c("_cut"), judge(False, "provider abstract is a truncation"))
-        .when(n < 2, judge(False, "single-provider difference"))
-        .when(c("classification").isin("substantive-difference", "identity-problem") & others,
-              judge(False, "another provider confirms the canonical value"))
-        .otherwise(judge(True, F.concat(F.lit("corroborated by "), n.cast("string"), F.lit(" providers")))))
-    shape = lambda v: F.transform(v, lambda x: F.struct(x["provider"].alias("provider"), x["provider_value"].alias("value")))
-    found = merged.withColumn("_j", verdict).select(
-        "publication_id", "field", "classification", "providers", "canonical_value", shape(c("v")).alias("provider_values"),
-        "_j.actionable", "_j.detail")
-
-    split = disagreements(comparisons)
-    context = comparisons.groupBy("publication_id", "field").agg(
-        F.bool_or(agrees).alias("supported"),
-        F.bool_or(c("classification") == "substantive-difference").alias("reported"),
-        F.first_value("canonical_value").alias("canonical_value"))
-    quiet = c("field").isin("publication_year", "container_title") & c("supported")
-    splits = split.join(context, ["publication_id", "field"]).filter(~quiet & ~c("reported")).select(
-        "publication_id", "field", F.lit("provider-disagreement").alias("classification"),
-        F.transform("values", lambda x: x["provider"]).alias("providers"), "canonical_value", shape(c("values")).alias("provider_values"),
-        F.lit(False).alias("actionable"), F.lit("").alias("detail"))
-    return found.unionByName(roles).unionByName(splits)
+
+    def verdict(members: Column) -> Column:
+        cls, count = F.get(members, F.lit(0))["cls"], F.size(names(members))
+        others = F.size(F.array_except(c("_confirm"), names(members))) > 0
+        return (
+            F.when(cls == "provider-review-required", judge(False, "provider abstract holds unsupported markup"))
+            .when((field == "publication_id") & (cls == "identity-problem"), judge(True, "canonical publication is missing"))
+            .when(F.exists(members, lambda x: x["day"]), judge(False, "created_date differs by one day"))
+            .when(F.forall(members, lambda x: x["cut"]), judge(False, "provider abstract is a truncation"))
+            .when(count < 2, judge(False, "single-provider difference"))
+            .when(cls.isin("substantive-difference", "identity-problem") & others, judge(False, "another provider confirms the canonical value"))
+            .otherwise(judge(True, F.concat(F.lit("corroborated by "), count.cast("string"), F.lit(" providers")))))
+
+    def finding(name, cls, members: Column, canonical, judged: Column) -> Column:
+        text = lambda x: x if isinstance(x, Column) else F.lit(x)
+        return F.struct(text(name).alias("field"), text(cls).alias("classification"), names(members).alias("providers"), canonical.alias("canonical_value"),
+                        shape(members).alias("provider_values"), judged["actionable"].alias("actionable"), judged["detail"].alias("detail"))
+
+    heads = lambda labels: F.filter(F.transform(labels, lambda label, i: F.when(label == i, i)), lambda i: i.isNotNull())
+    members = lambda labels, i: F.filter(e, lambda _, k: F.get(labels, k) == i)
+    found = F.transform(heads(c("_of")), lambda i: finding(field, at(i)["cls"], members(c("_of"), i), c("canonical_value"), verdict(members(c("_of"), i))))
+    roles = F.transform(heads(c("_role_of")), lambda i: finding(
+        "contributors", "role-disagreement", members(c("_role_of"), i), c("_ed.canonical_value"), judge(False, F.get(c("_role"), i))))
+    quiet = (field.isin("publication_year", "container_title") & c("_supported")) | F.exists(e, lambda x: x["cls"] == "substantive-difference")
+    split = F.when(~quiet & _split(e, c("_eq")), F.array(finding(
+        field, "provider-disagreement", F.filter(e, lambda x: x["given"]), c("canonical_value"), judge(False, ""))))
+    every = F.concat(found, roles, F.coalesce(split, F.slice(found, 1, 0)))
+    return groups.select("publication_id", F.explode(every).alias("f")).select("publication_id", "f.*")
 
 
 def missing_canonical(items: DataFrame, pubs: DataFrame) -> DataFrame:
@@ -286,14 +329,19 @@ def failure_status(code) -> Column:
     return F.when(F.coalesce(F.col(code) if isinstance(code, str) else code, F.lit(0)).isin(400, 401, 403), "error").otherwise("unavailable")
 
 
-def classification_counts(comparisons: DataFrame, issues: DataFrame, splits: DataFrame) -> DataFrame:
-    rows = comparisons.select("classification").unionByName(issues.select("classification")).unionByName(
-        splits.select(F.lit("provider-disagreement").alias("classification")))
-    return rows.groupBy("classification").agg(F.count("*").alias("n"))
+def classification_counts(comparisons: DataFrame, issues: DataFrame) -> DataFrame:
+    """How often each class occurs among comparisons and provider issues, and how many fields have a provider disagreement; ``comparisons`` is read once."""
+    groups = _with_equivalences(_entries(comparisons))
+    split = F.when(_split(F.col("e"), F.col("_eq")), F.array(F.lit("provider-disagreement"))).otherwise(F.array().cast("array<string>"))
+    found = groups.select(F.explode(F.concat(F.transform("e", lambda x: x["cls"]), split)).alias("classification"))
+    return found.unionByName(issues.select("classification")).groupBy("classification").agg(F.count("*").alias("n"))
 
 
 def audit_summary(results: DataFrame, findings: DataFrame, issues: DataFrame) -> DataFrame:
-    """One row: audited and flagged publications, actionable and informational findings, provider issues."""
+    """One row: audited and flagged publications, actionable and informational findings, provider issues.
+
+    ``results`` needs nothing but the ids of the audited publications, repeated or not.
+    """
     tagged = (results.select("publication_id", F.lit("r").alias("t")).distinct()
               .unionByName(findings.select("publication_id", F.when(F.col("actionable"), "a").otherwise("i").alias("t")))
               .unionByName(issues.select("publication_id", F.lit("p").alias("t"))))
