@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.functions.identity import fingerprint
 from quire.functions.markup import is_institution_like
 from quire.functions.staging import stage
 from quire.functions.text import casefold, is_safe_component, slugify, strip, romanised, to_ascii
+from quire.operators.ranking import numbered
+from quire.session import cut_lineage, stored
 
 
 def mapping_errors(mapping: DataFrame) -> DataFrame:
@@ -242,42 +246,79 @@ def edit_authors(mapping: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataF
 def allocate_slugs(titles: DataFrame, used: DataFrame) -> DataFrame:
     """Unique slugs ``(id, slug)`` for titles in input order: zeros are appended until a slug is free.
 
-    ``titles``: id, ord, title. The n-th row of one base slug takes the n-th free form. Forms
-    already used shift the count. One zero per earlier row makes the text of a crowded root
-    grow with the square of its rows, so the rule itself keeps such groups small.
+    ``titles``: id, ord, title. One zero per earlier row makes the text of a crowded root grow with
+    the square of its rows, which is the rule's; the allocation itself is ``allocate_zeros``.
+    """
+    rows = _rooted(titles.select("id", "ord", slugify("title").alias("base")), "base")
+    placed = allocate_zeros(rows, _rooted(used.select("slug").distinct(), "slug").select("root", "zeros"))
+    return placed.select(F.col("id").cast("string").alias("id"), F.concat("root", F.repeat(F.lit("0"), F.col("place").cast("int"))).alias("slug"))
+
+
+def _rooted(df: DataFrame, slug: str) -> DataFrame:
+    df = df.withColumn("root", F.regexp_replace(slug, "0+$", ""))
+    return df.withColumn("zeros", (F.length(slug) - F.length("root")).cast("long")).drop(slug)
+
+
+#: Free places of one join key of a gap.
+GAP_BLOCK = 1000
+
+
+def _gaps(used: DataFrame) -> DataFrame:
+    """``(root, low, high, shift)``: the free places numbered ``low`` to ``high`` (no end where null) have ``shift`` used places below them."""
+    ranked = numbered(used.distinct(), ["root"], [F.asc("zeros")], "shift")
+    ranked = cut_lineage(ranked.select("root", "shift", (F.col("zeros") - F.col("shift") + 1).alias("low")))
+    after = ranked.select("root", (F.col("shift") - 1).alias("shift"), (F.col("low") - 1).alias("high"))
+    return ranked.join(after, ["root", "shift"], "left").filter("high IS NULL OR low <= high").select("root", "low", "high", "shift")
+
+
+def _free_place(rows: DataFrame, gaps: DataFrame, at: str, place: str) -> DataFrame:
+    """Add ``place``: the free place of the root whose number is ``at`` (from 0). Roots without used places have all free.
+
+    Gaps meet rows by blocks of free numbers, so a crowded root is dealt to many keys; the last
+    gap, which has no end, is one row of its root.
+    """
+    closed = gaps.filter("high IS NOT NULL").select(
+        F.col("root").alias("_r"), F.col("low").alias("_low"), F.col("high").alias("_high"), F.col("shift").alias("_shift"),
+        F.explode(F.sequence(F.floor(F.col("low") / GAP_BLOCK), F.floor(F.col("high") / GAP_BLOCK))).alias("_b"))
+    tail = gaps.filter("high IS NULL").select(F.col("root").alias("_t"), F.col("low").alias("_last"), F.col("shift").alias("_all"))
+    inside = (F.col("root") == F.col("_r")) & (F.floor(F.col(at) / GAP_BLOCK) == F.col("_b")) & F.col(at).between(F.col("_low"), F.col("_high"))
+    rows = rows.join(closed, inside, "left").join(tail, F.col("root") == F.col("_t"), "left")
+    shift = F.coalesce("_shift", F.when(F.col(at) >= F.col("_last"), F.col("_all")), F.lit(0))
+    return rows.withColumn(place, F.col(at) + shift).drop("_r", "_b", "_low", "_high", "_shift", "_t", "_last", "_all")
+
+
+def allocate_zeros(rows: DataFrame, used: DataFrame) -> DataFrame:
+    """Place of each row: in order of ``ord``, the first number from its ``zeros`` on that neither ``used`` nor an earlier row of its root holds.
+
+    ``rows``: id, root, ord, zeros; ``used``: root, zeros. Adds ``place``. A place goes to the earliest row that has
+    passed or started at it and holds none yet. So the places between two starting numbers of a root go, in
+    order, to the earliest of the rows that wait there, and the others wait at the next
+    starting number: one round for each, over all roots at once. In a round rows are numbered by
+    ranges and find their places by joins on gaps, so a crowded root takes many tasks.
     """
-    rows = titles.select("id", "ord", slugify("title").alias("base"))
-    rows = rows.withColumn("root", F.regexp_replace("base", "0+$", "")).withColumn("zeros", F.length("base") - F.length("root"))
-    taken = used.select("slug").distinct().select(F.regexp_replace("slug", "0+$", "").alias("root"), "slug").withColumn(
-        "at", F.length("slug") - F.length("root")).groupBy("root").agg(F.sort_array(F.collect_set("at")).alias("taken"))
-    # Rows of one root compete for the same forms. All but roots that really collide are settled by a plain join.
-    counts = rows.groupBy("root").agg(F.count("*").alias("n"))
-    rows = rows.join(counts, "root").join(taken, "root", "left")
-    none = F.array().cast("array<int>")
-    free = rows.filter("n = 1").withColumn("taken", F.coalesce("taken", none))
-    first_free = F.get(F.filter(F.sequence(F.col("zeros"), F.col("zeros") + F.size("taken")), lambda z: ~F.array_contains("taken", z)), F.lit(0))
-    single = free.select("id", F.concat("root", F.repeat(F.lit("0"), first_free)).alias("slug"))
-    rank = F.row_number().over(Window.partitionBy("root", "zeros").orderBy("ord"))
-    crowd = rows.filter("n > 1").withColumn("taken", F.coalesce("taken", none)).withColumn("k", rank)
-    natural = crowd.groupBy("root").agg(F.count_distinct("zeros").alias("levels"))
-    crowd = crowd.join(natural, "root")
-    # the k-th free number from the own one: each used number at or below the place reached moves it by one
-    used_above = F.filter("taken", lambda t: t >= F.col("zeros"))
-    nth = F.aggregate(used_above, F.col("zeros") + F.col("k") - 1, lambda z, t: F.when(t <= z, z + 1).otherwise(z))
-    plain = crowd.filter("levels = 1").select("id", F.concat("root", F.repeat(F.lit("0"), nth)).alias("slug"))
-    mixed = crowd.filter("levels > 1").groupBy("root").applyInPandas(_settle, "id string, slug string")
-    return single.select(F.col("id").cast("string").alias("id"), "slug").unionByName(
-        plain.select(F.col("id").cast("string").alias("id"), "slug")).unionByName(mixed)
-
-
-def _settle(group):
-    """Input-order allocation for the rare roots whose titles themselves end in zeros."""
-    taken = set(group["taken"].iloc[0])
-    out = []
-    for row in group.sort_values("ord").itertuples():
-        z = row.zeros
-        while z in taken:
-            z += 1
-        taken.add(z)
-        out.append((str(row.id), row.root + "0" * z))
-    return type(group)(out, columns=["id", "slug"])
+    gaps = cut_lineage(_gaps(used))
+    crowd = rows.groupBy("root").agg(F.count("*").alias("_rows")).join(used.select("root").distinct().withColumn("_used", F.lit(True)), "root", "left")
+    rows = rows.join(crowd, "root", "left")
+    alone = rows.filter((F.col("_rows") == 1) & F.col("_used").isNull()).withColumn("place", F.col("zeros")).drop("_rows", "_used")
+    waiting = rows.filter((F.col("_rows") > 1) | F.col("_used").isNotNull()).drop("_rows", "_used")
+    columns = waiting.columns
+    # starting numbers of each root, as numbers of free places: those below the start are out of reach
+    starts = waiting.select("root", "zeros").distinct()
+    below = starts.join(used.distinct().select("root", F.col("zeros").alias("_u")), "root", "left").groupBy("root", "zeros").agg(
+        F.count_if(F.col("_u") < F.col("zeros")).alias("_below"))
+    by = Window.partitionBy("root").orderBy("zeros")
+    starts = below.select("root", "zeros", (F.col("zeros") - F.col("_below")).alias("_first"), F.row_number().over(by).alias("_round"))
+    starts = cut_lineage(starts.withColumn("_next", F.lead("_first").over(by)))
+    rounds = starts.agg(F.max("_round")).first()[0] or 0
+    out, left = [alone.select(*columns, "place")], None
+    waiting = waiting.join(starts.select("root", "zeros", F.col("_round").alias("_start")), ["root", "zeros"])
+    for k in range(1, rounds + 1):
+        pool = waiting.filter(F.col("_start") == k).select(*columns)
+        pool = pool if left is None else pool.unionByName(left)
+        pool = numbered(pool, ["root"], [F.asc("ord")], "_k").join(starts.filter(F.col("_round") == k).select("root", "_first", "_next"), "root")
+        served = F.col("_next").isNull() | (F.col("_first") + F.col("_k") - 1 < F.col("_next"))
+        pool = stored(pool.withColumn("_served", served), "slug-round")
+        placed = _free_place(pool.filter("_served").withColumn("_at", F.col("_first") + F.col("_k") - 1), gaps, "_at", "place")
+        out.append(placed.select(*columns, "place"))
+        left = pool.filter("NOT _served").select(*columns)
+    return reduce(DataFrame.unionByName, out)

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quire.functions.staging import stage
 from quire.functions.stats import promotion_ready, ratio, wilson_lower
 from quire.functions.text import _col, casefold, norm_dash, unescape_entities
 from quire.operators.screening import match_rules, relevance_text, triage
-from quire.session import cut_lineage
+from quire.session import cut_lineage, stored
 
 WORD = r"[\p{L}\p{N}]+(?:[-'][\p{L}\p{N}]+)*"
 
@@ -68,28 +69,23 @@ def labeled_features(evidence: DataFrame, labels: DataFrame, accept: list[str],
     return with_features(rows, "_text", stop).select("doi", "ord", "batch_id", "label", "source", "gap", "features")
 
 
-def base_rates(labeled: DataFrame) -> DataFrame:
-    """One row: keep and reject shares over all labelled rows and over the review gap."""
-    keep, gap = F.col("label") == "keep", F.col("gap")
-    sums = labeled.agg(
-        F.count("*").alias("total"),
-        F.count_if(keep).alias("keep"),
-        F.count_if(gap).alias("gap_total"),
-        F.count_if(gap & keep).alias("gap_keep"),
-    )
-    share = lambda a, b: F.coalesce(ratio(a, b), F.lit(0.0))
+def base_rates(counts: DataFrame) -> DataFrame:
+    """One row: keep and reject shares over all labelled rows and over the review gap, from the row of a ``phrase_table`` that counts all."""
+    share = lambda a, b: F.coalesce(ratio(F.col(a), F.col(b)), F.lit(0.0))
+    sums = counts.filter(F.col("phrase") == ALL_ROWS).select(
+        "keep", "reject", "review_keep", "review_reject", (F.col("keep") + F.col("reject")).alias("total"), (F.col("review_keep") + F.col("review_reject")).alias("gap_total"))
     return sums.select(
         "total", "gap_total",
-        share(F.col("keep"), F.col("total")).alias("base_keep"),
-        share(F.col("total") - F.col("keep"), F.col("total")).alias("base_reject"),
-        share(F.col("gap_keep"), F.col("gap_total")).alias("gap_base_keep"),
-        share(F.col("gap_total") - F.col("gap_keep"), F.col("gap_total")).alias("gap_base_reject"),
+        share("keep", "total").alias("base_keep"),
+        share("reject", "total").alias("base_reject"),
+        share("review_keep", "gap_total").alias("gap_base_keep"),
+        share("review_reject", "gap_total").alias("gap_base_reject"),
     )
 
 
-def with_base_rates(df: DataFrame, labeled: DataFrame) -> DataFrame:
+def with_base_rates(df: DataFrame, counts: DataFrame) -> DataFrame:
     """Add the one row of base rates as columns through a scalar subquery."""
-    rates = base_rates(labeled)
+    rates = base_rates(counts)
     row = rates.select(F.struct(*rates.columns).alias("r")).scalar()
     return df.withColumn("_rates", row).select("*", "_rates.*").drop("_rates")
 
@@ -134,12 +130,26 @@ def phrase_counts(labeled: DataFrame) -> DataFrame:
     )
 
 
+#: The phrase under which a phrase table counts all rows.
+ALL_ROWS = ""
+
+
+def phrase_table(labeled: DataFrame) -> DataFrame:
+    """Counts of the phrases that stand in at least two rows of the review gap, and of all rows under the empty phrase.
+
+    Texts are matched and cut once for the counts and the base rates; the table is written, because
+    its readers need it twice.
+    """
+    every = labeled.withColumn("features", F.concat(F.array(F.lit(ALL_ROWS)), F.coalesce("features", F.array().cast("array<string>"))))
+    return stored(phrase_counts(every).filter((F.col("phrase") == ALL_ROWS) | (F.col("review_keep") + F.col("review_reject") >= 2)), "phrases")
+
+
 def signals(labeled: DataFrame, limit: int = 20, counts: DataFrame | None = None) -> DataFrame:
-    """Best single phrases per direction for closing the review gap."""
-    counts = phrase_counts(labeled) if counts is None else counts
-    frequent = counts.filter("keep + reject >= 2 AND review_keep + review_reject >= 2")
+    """Best single phrases per direction for closing the review gap. ``counts``: the ``phrase_table`` of ``labeled``, if there is one."""
+    counts = phrase_table(labeled) if counts is None else counts
+    frequent = counts.filter((F.col("phrase") != ALL_ROWS) & (F.col("review_keep") + F.col("review_reject") >= 2))
     rows = (
-        with_base_rates(frequent, labeled)
+        with_base_rates(frequent, counts)
         .withColumn("support", F.col("keep") + F.col("reject"))
         .withColumn("review_support", F.col("review_keep") + F.col("review_reject"))
         .withColumn("d", F.explode(F.array(
@@ -193,10 +203,10 @@ def examples(labeled: DataFrame, winners: DataFrame, per_label: int = 5, gap_onl
 
 
 def candidate_pool(labeled: DataFrame, size: int = 80, counts: DataFrame | None = None) -> DataFrame:
-    """Phrases of the review gap that discriminate best; at most ``size`` rows."""
-    counts = phrase_counts(labeled) if counts is None else counts
+    """Phrases of the review gap that discriminate best; at most ``size`` rows. ``counts`` as in ``signals``."""
+    counts = phrase_table(labeled) if counts is None else counts
     support = F.col("review_keep") + F.col("review_reject")
-    rows = with_base_rates(counts.filter(support >= 2), labeled).withColumn("support", support)
+    rows = with_base_rates(counts.filter((F.col("phrase") != ALL_ROWS) & (support >= 2)), counts).withColumn("support", support)
     spread = F.greatest(
         F.abs(ratio("review_keep", "support") - F.col("gap_base_keep")),
         F.abs(ratio("review_reject", "support") - F.col("gap_base_reject")),
@@ -232,21 +242,23 @@ def pair_regex(a, b) -> Column:
 
 
 def pair_signals(labeled: DataFrame, limit: int = 20, pool_size: int = 80, min_gain: float = 0.10,
-                 counts: DataFrame | None = None, preselected: int | None = None) -> DataFrame:
+                 counts: DataFrame | None = None, preselected: int | None = None, per_label: int = 5) -> DataFrame:
     """Two-phrase rules that predict better than either phrase alone: the ``limit`` best of each direction.
 
     The final order applies to the ``preselected`` pairs that lead by the review figures alone, five
-    times the limit and at least 50 where it is not given.
+    times the limit and at least 50 where it is not given. The first ``per_label`` keys that support
+    and that contradict a rule come with it, of all rows and of the review gap.
 
-    The pool holds at most ``pool_size`` phrases; it is written once to the checkpoint folder,
-    because it is read three times, and enters each row as one array through a scalar subquery. A row
-    therefore yields at most pool_size*(pool_size-1)/2 pairs, all of them counted by a
-    map-side combine over that same bounded key space; nothing is paired across rows.
+    The pool holds at most ``pool_size`` phrases, which enter the plan as one array. What rows hold
+    of it is written once and read for counts and examples, so texts are cut twice: for the phrase
+    table and for the pool. A row yields at most pool_size*(pool_size-1)/2 pairs, all of them
+    counted by a map-side combine over that same bounded key space; nothing is paired across rows.
     """
-    counts = phrase_counts(labeled) if counts is None else counts
+    counts = phrase_table(labeled) if counts is None else counts
     pool = cut_lineage(candidate_pool(labeled, pool_size, counts))
-    pool_array = pool.agg(F.sort_array(F.collect_list("phrase"))).scalar()
-    rows = labeled.withColumn("_sel", F.sort_array(F.array_intersect("features", pool_array)))
+    listed = F.array(*[F.lit(r["phrase"]) for r in pool.select("phrase").orderBy("phrase").collect()]).cast("array<string>")
+    held = stage(labeled, _sel=F.array_intersect(listed, "features"))
+    rows = stored(held.filter(F.size("_sel") > 1).select("doi", "ord", "batch_id", "label", "source", "gap", "_sel"), "pool-phrases")
     keep_cols = ["batch_id", "label", "source", "gap"]
     firsts = rows.select(*keep_cols, "_sel", F.posexplode_outer("_sel").alias("pos", "first")).filter("first IS NOT NULL")
     later = F.expr("slice(_sel, pos + 2, size(_sel))")
@@ -272,7 +284,7 @@ def pair_signals(labeled: DataFrame, limit: int = 20, pool_size: int = 80, min_g
             (F.col("r") / F.col("support")).alias(f"{side}_reject_p"),
         ))
         per_pair = per_pair.join(small, side)
-    per_pair = with_base_rates(per_pair, labeled).filter("gap_total >= 2")
+    per_pair = with_base_rates(per_pair, counts).filter("gap_total >= 2")
     per_pair = per_pair.withColumn("review_support", gap_k + gap_r).withColumn("support", F.col("keep") + F.col("reject"))
 
     def side_struct(direction: str, label: str) -> Column:
@@ -303,7 +315,7 @@ def pair_signals(labeled: DataFrame, limit: int = 20, pool_size: int = 80, min_g
     first_cut = Window.partitionBy("direction").orderBy(*[F.desc(c) for c in lead + ["first", "second"]])
     final = Window.partitionBy("direction").orderBy(
         *[F.desc(c) for c in lead + ["wilson_lower", "support", "first", "second"]])
-    return (
+    best = (
         out.withColumn("_cut", F.row_number().over(first_cut)).filter(F.col("_cut") <= (preselected or max(limit * 5, 50)))
         .withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= limit)
         .withColumn("regex", pair_regex("first", "second"))
@@ -316,6 +328,31 @@ def pair_signals(labeled: DataFrame, limit: int = 20, pool_size: int = 80, min_g
             "support", "keep", "reject", "precision", "wilson_lower", "batch_count",
         )
     )
+    best = cut_lineage(best)
+    found = pair_examples(rows, best, per_label)
+    own = lambda scope, side: F.when(F.col("direction") == "accept", F.col(f"{scope}_{side[0]}")).otherwise(F.col(f"{scope}_{side[1]}"))
+    sides = {"supporting": ("keep", "reject"), "contradicting": ("reject", "keep")}
+    return best.join(found, ["first", "second"], "left").select(
+        *best.columns, *[own("gap", s).alias(f"review_{n}_dois") for n, s in sides.items()], *[own("all", s).alias(f"{n}_dois") for n, s in sides.items()])
+
+
+def pair_examples(rows: DataFrame, winners: DataFrame, per_label: int = 5) -> DataFrame:
+    """First example keys of winning pairs: ``first, second`` and one array for each label, of all rows and of the review gap.
+
+    ``rows`` has ``_sel``, the pool phrases of a row; ``winners`` is a top-k result, so its pairs
+    enter the plan as one array. The rank filter becomes a window group limit: every
+    task keeps ``per_label`` rows of a pair, label and scope before the shuffle.
+    """
+    pairs = [F.struct(F.lit(r["first"]).alias("first"), F.lit(r["second"]).alias("second")) for r in winners.select("first", "second").distinct().collect()]
+    listed = F.array(*pairs).cast("array<struct<first:string,second:string>>")
+    both = F.filter(listed, lambda p: F.array_contains("_sel", p["first"]) & F.array_contains("_sel", p["second"]))
+    scopes = F.when(F.col("gap"), F.array(F.lit("all"), F.lit("gap"))).otherwise(F.array(F.lit("all")))
+    hits = rows.select("doi", "ord", "label", scopes.alias("scopes"), F.explode(both).alias("p")).select("doi", "ord", "label", "p.*", F.explode("scopes").alias("scope"))
+    first = Window.partitionBy("first", "second", "label", "scope").orderBy("ord", "doi")
+    kept = hits.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_label)
+    listing = lambda scope, label: F.transform(F.sort_array(F.collect_list(F.when(
+        (F.col("scope") == scope) & (F.col("label") == label), F.struct("n", "doi")))), lambda x: x["doi"]).alias(f"{scope}_{label}")
+    return kept.groupBy("first", "second").agg(*[listing(s, v) for s in ("all", "gap") for v in ("keep", "reject")])
 
 
 # -- diagnostics of current rules ----------------------------------------------------

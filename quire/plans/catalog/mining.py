@@ -239,22 +239,31 @@ _PAIRS = _POOL + f""",
   pf AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY gain DESC, rwl DESC, gk + gr DESC, agree DESC, p1 DESC, p2 DESC) AS cut
       FROM ps WHERE rprec > gbase AND gain >= 0.1 AND review_batch_count >= 2 AND agree >= 0.75),
   pr AS (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY gain DESC, rwl DESC, gk + gr DESC, agree DESC, wl DESC,
-      keep + reject DESC, p1 DESC, p2 DESC) AS rank FROM pf WHERE cut <= 100)"""
+      keep + reject DESC, p1 DESC, p2 DESC) AS rank FROM pf WHERE cut <= 100),
+  won AS (SELECT DISTINCT p1, p2 FROM pr WHERE rank <= 20),
+  hit AS (SELECT w.p1, w.p2, a.doi, a.ord, a.label, a.gap FROM won w JOIN grams a ON a.phrase = w.p1 JOIN grams b ON b.phrase = w.p2 AND b.doi = a.doi),
+  ex AS (SELECT p1, p2, label, 'all' AS scope, doi, row_number() OVER (PARTITION BY p1, p2, label ORDER BY ord) AS n FROM hit
+      UNION ALL SELECT p1, p2, label, 'gap', doi, row_number() OVER (PARTITION BY p1, p2, label ORDER BY ord) FROM hit WHERE gap),
+  el AS (SELECT p1, p2, scope, coalesce(string_agg(doi, ',' ORDER BY n) FILTER (label = 'keep'), '') AS k,
+      coalesce(string_agg(doi, ',' ORDER BY n) FILTER (label = 'reject'), '') AS r FROM ex WHERE n <= 5 GROUP BY p1, p2, scope)"""
 
 
-@query("a6_pair_signals", _PAIRS + r""" SELECT direction, rank, p1 AS first, p2 AS second,
-    '(?is)(?=.*\b' || regexp_replace(p1, '[- ]+', '[-\\s]+', 'g') || '\b)(?=.*\b' || regexp_replace(p2, '[- ]+', '[-\\s]+', 'g') || '\b)' AS regex,
+@query("a6_pair_signals", _PAIRS + r""" SELECT direction, rank, pr.p1 AS first, pr.p2 AS second,
+    '(?is)(?=.*\b' || regexp_replace(pr.p1, '[- ]+', '[-\\s]+', 'g') || '\b)(?=.*\b' || regexp_replace(pr.p2, '[- ]+', '[-\\s]+', 'g') || '\b)' AS regex,
     gk + gr >= 6 AND rprec >= 0.95 AND rwl >= 0.6 AND review_batch_count >= 3 AS promotion_ready,
     gk + gr AS review_support, gk AS review_keep, gr AS review_reject, round(rprec, 9) AS review_precision,
     round(rwl, 9) AS review_wilson_lower, review_batch_count, round(agree, 9) AS review_batch_agreement,
     round(fp, 9) AS first_review_precision, round(sp, 9) AS second_review_precision,
     round(best, 9) AS best_single_review_precision, round(gain, 9) AS review_precision_gain, human_keep, human_reject,
-    keep + reject AS support, keep, reject, round(prec, 9) AS precision, round(wl, 9) AS wilson_lower, batch_count
-    FROM pr WHERE rank <= 20""")
+    keep + reject AS support, keep, reject, round(prec, 9) AS precision, round(wl, 9) AS wilson_lower, batch_count,
+    CASE direction WHEN 'accept' THEN e.k ELSE e.r END AS supporting_dois, CASE direction WHEN 'accept' THEN e.r ELSE e.k END AS contradicting_dois,
+    CASE direction WHEN 'accept' THEN g.k ELSE g.r END AS review_supporting_dois, CASE direction WHEN 'accept' THEN g.r ELSE g.k END AS review_contradicting_dois
+    FROM pr JOIN el e ON e.p1 = pr.p1 AND e.p2 = pr.p2 AND e.scope = 'all' JOIN el g ON g.p1 = pr.p1 AND g.p2 = pr.p2 AND g.scope = 'gap' WHERE rank <= 20""")
 def a6(spark, sf):
     s = M.pair_signals(_labeled(spark, sf))
     floats = [f.name for f in s.schema if f.dataType.typeName() == "double"]
-    return s.select(*[c for c in s.columns if c not in floats], *_r(*floats))
+    lists = [f.name for f in s.schema if f.dataType.typeName() == "array"]
+    return s.select(*[c for c in s.columns if c not in floats + lists], *[F.array_join(c, ",").alias(c) for c in lists], *_r(*floats))
 
 
 @query("f16_phrase_regex", _SIGNALS + r""" SELECT phrase, regexp_replace(phrase, '[- ]+', '[-\\s]+', 'g') AS regex FROM winners""")
