@@ -8,14 +8,14 @@ from quire.functions.identity import norm_doi
 from quire.functions.markup import clean_citations, clean_provider_abstract, clean_titles, is_institution_like
 from quire.functions.staging import stage
 from quire.functions.text import (
-    _col, blank_to_null, clean_abstract, clean_metadata, display_name, is_missing, is_safe_component, strip,
+    _col, blank_to_null, clean_abstract, clean_metadata, is_missing, is_safe_component, strip,
 )
+from quire.operators.audit import AUDIT_FIELDS, audit_record, compare
 from quire.sources.works import (
     date_year, first_text, isbn, page_locator, parse_contributors, people_names, strict_date, text,
 )
 
 _EVIDENCE = "array<struct<source:string,value:string,reason:string>>"
-SCALAR_FIELDS = ["title", "abstract", "container_title", "publication_year", "volume", "issue", "pages", "publisher", "event"]
 
 
 def base_enrichment(works: DataFrame, keep_refused: bool = False) -> DataFrame:
@@ -46,18 +46,33 @@ def best_abstract(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     return best.select("doi", F.col("b.normalized").alias("abstract"), F.col("b.source").alias("source")), refused
 
 
-def enrich_collect(base: DataFrame, extra: DataFrame, fallback: DataFrame) -> DataFrame:
-    """Publisher values replace base values when present; the fallback serves empty abstracts only."""
-    e = extra.select("doi", *[F.col(c).alias(f"e_{c}") for c in ("abstract", "keywords", "event")])
+def enrich_collect(base: DataFrame, extra: DataFrame, fallback: DataFrame, refused: DataFrame | None = None) -> DataFrame:
+    """Publisher values replace base values when present; the fallback serves empty abstracts only.
+
+    ``extra``: doi, abstract as the publisher gives it, keywords, event. ``fallback`` and ``refused`` are the two
+    tables of ``best_abstract``. Texts that were refused stay as evidence, in the order base, publisher,
+    fallback sources; those of the fallback only where it was asked.
+    """
+    none = F.array().cast(_EVIDENCE)
+    e = clean_provider_abstract(extra.withColumn("_raw", F.coalesce("abstract", F.lit(""))), "_raw", "_c")
+    entry = F.struct(F.lit("publisher").alias("source"), F.col("_c.normalized").alias("value"), F.col("_c.reason").alias("reason"))
+    e = e.select("doi", F.when(F.col("_c.deterministic"), F.col("_c.normalized")).alias("e_abstract"), F.when(~F.col("_c.deterministic"), F.array(entry)).alias("e_evidence"),
+                 F.col("keywords").alias("e_keywords"), F.col("event").alias("e_event"))
     f = fallback.select("doi", F.col("abstract").alias("f_abstract"), F.col("source").alias("f_source"))
     both = base.join(e, "doi", "left").join(f, "doi", "left")
+    if refused is not None:  # one entry for each fallback source of a key
+        listed = refused.groupBy("doi").agg(F.sort_array(F.collect_list(F.struct("source", "value", "reason"))).cast(_EVIDENCE).alias("f_evidence"))
+        both = both.join(listed, "doi", "left")
+    else:
+        both = both.withColumn("f_evidence", F.lit(None).cast(_EVIDENCE))
     own = F.coalesce(blank_to_null("e_abstract"), blank_to_null("abstract"))
     source = (F.when(blank_to_null("e_abstract").isNotNull(), "publisher").when(blank_to_null("abstract").isNotNull(), F.col("abstract_source"))
               .when(blank_to_null("f_abstract").isNotNull(), F.col("f_source")).otherwise(""))
+    evidence = F.concat(F.coalesce("evidence", none), F.coalesce("e_evidence", none), F.when(own.isNull(), F.coalesce("f_evidence", none)).otherwise(none))
     return both.select(
         "doi", F.coalesce(own, F.col("f_abstract"), F.lit("")).alias("abstract"), source.alias("abstract_source"),
         F.when(F.size(F.coalesce("e_keywords", F.array().cast("array<string>"))) > 0, F.col("e_keywords")).otherwise(F.col("keywords")).alias("keywords"),
-        F.coalesce("e_event", F.lit("")).alias("event"), "evidence")
+        F.coalesce("e_event", F.lit("")).alias("event"), evidence.alias("evidence"))
 
 
 def enrich_discover(base: DataFrame, extra: DataFrame) -> DataFrame:
@@ -173,23 +188,42 @@ def backfill(pubs: DataFrame, provider: DataFrame, fields: list[str], types: lis
     )
 
 
-def refresh(pubs: DataFrame, stored: DataFrame, current: DataFrame, provider: DataFrame, fields: list[str], types: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Refresh scan: ``(stale publications, proposals, collateral differences)``.
+def refresh(pubs: DataFrame, stored: DataFrame, current: DataFrame, fresh: DataFrame, refused: DataFrame, fields: list[str],
+            types: list[str]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Refresh scan: ``(stale publications, proposals, collateral differences, unavailable)``.
 
     A publication is stale when its stored citation text is absent or differs from the
-    current one. Missing fields become proposals, other differing fields are reported.
+    current one. ``fresh``: the publications made anew, by ``doi``; ``refused``: doi, source, value, reason of
+    texts that were not taken. All audit fields of both are classified, lists and dates too: a missing
+    one of ``fields`` with a value becomes a proposal, a missing abstract with nothing but refused
+    texts a proposal that needs a person; everything else that is not equal in its comparison form is
+    reported with its class.
     """
     texts = stored.select("doi", F.col("text").alias("stored_text")).join(current.select("doi", F.col("text").alias("now_text")), "doi", "full")
     stale = eligible(pubs, types, fields).select("id", "doi").join(texts, "doi").filter(
-        "now_text IS NOT NULL AND (stored_text IS NULL OR stored_text <> now_text)").select("id", "doi")
-    rows = _missing_long(pubs.join(stale.select("id"), "id", "left_semi"), [f for f in SCALAR_FIELDS if f in pubs.columns])
-    both = rows.join(provider.select("doi", "field", "value"), ["doi", "field"]).filter(F.coalesce(strip("value"), F.lit("")) != "")
-    wanted = F.col("field").isin(fields)
-    differs = F.lower(strip("value")) != F.lower(strip("current"))
+        "trim(now_text) <> '' AND (stored_text IS NULL OR stored_text <> now_text)").select(
+        "id", "doi", F.when(F.col("stored_text").isNull(), "missing text").otherwise("changed text").alias("reason"))
+    shared = ["doi", *[f for f in AUDIT_FIELDS if f in pubs.columns and f in fresh.columns]]
+    old = pubs.select("id", *shared).join(stale.select("id"), "id", "left_semi")
+    new = fresh.select(*shared).join(stale.select("id", "doi"), "doi")
+    made = audit_record(new).withColumns({"provider": F.lit("refresh"), "p_ord": F.lit(0), "status": F.lit("available"), "detail": F.lit("")})
+    both = compare(audit_record(old), made)[0].withColumnRenamed("publication_id", "id").join(old.select("id", "doi"), "id")
+    evidence = refused.groupBy("doi").agg(F.sort_array(F.collect_list(F.struct("source", "value", "reason"))).cast(_EVIDENCE).alias("_kept"))
+    both = both.join(evidence, "doi", "left")
+    first = lambda c: F.get(F.col(c), F.lit(0))
+    blank = lambda c: F.when(F.col("field") == "abstract", is_missing("abstract", first(c))).otherwise(is_missing("", first(c)))
+    none = F.array().cast(_EVIDENCE)
+    both = stage(both, _open=F.col("field").isin(fields) & ~F.col("is_list") & blank("canonical_value"), _value=~F.col("is_list") & ~blank("provider_value"),
+                 _evidence=F.when(F.col("field") == "abstract", F.coalesce("_kept", none)).otherwise(none))
+    person = F.col("_open") & ~F.col("_value") & (F.size("_evidence") > 0)
+    proposed = both.filter((F.col("_open") & F.col("_value")) | person)
+    other = both.filter(~(F.col("_open") & F.col("_value")) & ~person & ~F.col("classification").isin("equal", "formatting-only"))
     return (
         stale,
-        both.filter(wanted & F.col("m")).select("id", "doi", "field", F.col("value").alias("proposed_value")),
-        both.filter(~(wanted & F.col("m")) & differs).select("id", "doi", "field", "current", "value"),
+        proposed.select("id", "doi", "field", F.when(F.col("_value"), first("provider_value")).otherwise("").alias("proposed_value"),
+                        (~F.col("_value")).alias("review_required"), F.col("_evidence").alias("evidence")),
+        other.select("id", "doi", "field", "classification", F.col("canonical_value").alias("current"), F.col("provider_value").alias("value")),
+        stale.join(fresh.select("doi"), "doi", "left_anti").select("id", "doi"),
     )
 
 
@@ -255,7 +289,3 @@ def tidy_citation(c) -> Column:
     last = strip(F.element_at(F.split(body, r"\r\n|[\n\r]"), -1))
     out = F.regexp_replace(last, r"^1\.\s*", "")
     return F.when(is_json | (body == ""), "").when(out.endswith("."), F.rtrim(F.substr(out, F.lit(1), F.length(out) - 1))).otherwise(out)
-
-
-def publication_names(persons) -> Column:
-    return F.transform(_col(persons), display_name)

@@ -133,21 +133,32 @@ def e1(spark, sf):
 
 
 def _extra(spark, sf) -> DataFrame:
+    """Publisher values of closed orders; some abstracts hold markup that is refused."""
     o = V.table(spark, sf, "orders").filter("o_orderstatus = 'F'")
-    return o.select(V.doi("10.1/o", "o_orderkey").alias("doi"), F.when(F.col("o_totalprice") > 150000, "long text").otherwise("").alias("abstract"),
+    bad = F.concat(F.lit("<mml:math><mml:mi>x</mml:mi></mml:math> "), F.col("o_orderkey").cast("string"))
+    return o.select(V.doi("10.1/o", "o_orderkey").alias("doi"), F.when(F.col("o_totalprice") > 150000, "long text").when(F.col("o_totalprice") > 100000, bad).otherwise("").alias("abstract"),
                     F.array("o_orderpriority").alias("keywords"), F.lit("Conf").alias("event"))
 
 
 @query("e2_enrich_collect", _O + """ SELECT doi, CASE WHEN o_orderstatus = 'F' AND o_totalprice > 150000 THEN 'long text' WHEN o_totalprice > 50000 THEN 'order ' || o_orderkey || ' was placed' ELSE 'fallback' END AS abstract,
     CASE WHEN o_orderstatus = 'F' AND o_totalprice > 150000 THEN 'publisher' WHEN o_totalprice > 50000 THEN 'crossref' ELSE 'fb' END AS abstract_source,
-    CASE WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE 'Trade|' || o_orderpriority END AS keywords, CASE WHEN o_orderstatus = 'F' THEN 'Conf' ELSE '' END AS event FROM o""")
+    CASE WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE 'Trade|' || o_orderpriority END AS keywords, CASE WHEN o_orderstatus = 'F' THEN 'Conf' ELSE '' END AS event,
+    concat_ws('|', CASE WHEN o_orderstatus = 'F' AND o_totalprice > 100000 AND o_totalprice <= 150000 THEN 'publisher' END,
+      CASE WHEN o_totalprice <= 50000 AND o_orderkey % 2 = 0 THEN 'other' END) AS refused FROM o""")
 def e2(spark, sf):
     w = crossref(spark, sf)
-    cheap = V.table(spark, sf, "orders").filter("o_totalprice <= 50000").select(V.doi("10.1/o", "o_orderkey").alias("doi"), F.lit("fallback").alias("abstract"), F.lit("fb").alias("source"))
+    key = V.doi("10.1/o", "o_orderkey").alias("doi")
+    # three fallback sources: the longest safe text wins, a refused one stays as evidence where the fallback is asked
+    o = V.table(spark, sf, "orders")
+    offered = o.filter("o_totalprice <= 50000").select(key, F.lit("short").alias("source"), F.lit(0).alias("rank"), F.lit("fall").alias("abstract")).unionByName(
+        o.filter("o_totalprice <= 50000").select(key, F.lit("fb").alias("source"), F.lit(1).alias("rank"), F.lit("fallback").alias("abstract"))).unionByName(
+        o.filter("o_orderkey % 2 = 0").select(key, F.lit("other").alias("source"), F.lit(2).alias("rank"), F.lit("<mml:math><mml:mi>y</mml:mi></mml:math>").alias("abstract")))
+    cheap, refused = E.best_abstract(offered)
     base = E.base_enrichment(w).join(cheap.select("doi", F.lit(True).alias("c")), "doi", "left").withColumn(
         "abstract", F.when(F.col("c"), "").otherwise(F.col("abstract"))).drop("c")
-    out = E.enrich_collect(base, _extra(spark, sf), cheap)
-    return out.select("doi", "abstract", "abstract_source", F.array_join("keywords", "|").alias("keywords"), "event")
+    out = E.enrich_collect(base, _extra(spark, sf), cheap, refused)
+    return out.select("doi", "abstract", "abstract_source", F.array_join("keywords", "|").alias("keywords"), "event",
+                      F.array_join(F.transform("evidence", lambda e: e["source"]), "|").alias("refused"))
 
 
 @query("e3_enrich_discover", _O + """ SELECT doi, 'order ' || o_orderkey || ' was placed' || CASE WHEN o_orderstatus = 'F' AND o_totalprice > 150000 THEN ' long text' ELSE '' END AS abstract,
@@ -247,16 +258,39 @@ def e7(spark, sf):
             .unionByName(gone.select("id", F.lit("").alias("field"), F.lit("unavailable").alias("status"))))
 
 
-@query("e8_refresh", _P + """, s AS (SELECT * FROM p WHERE p_size > 30 AND p_size < 48 AND p_retailprice > 905)
-    SELECT p_partkey AS id, 'stale' AS kind, '' AS field FROM s UNION ALL SELECT p_partkey, 'proposal', 'abstract' FROM s WHERE p_size <= 45 AND p_brand <> 'Brand#3'
-    UNION ALL SELECT p_partkey, 'proposal', 'volume' FROM s WHERE p_size > 40 AND p_brand <> 'Brand#3' UNION ALL SELECT p_partkey, 'other', 'volume' FROM s WHERE p_size <= 40 AND p_brand <> 'Brand#3'
-    UNION ALL SELECT p_partkey, 'other', 'title' FROM s WHERE p_brand <> 'Brand#3'""")
+@query("e8_refresh", _P + """, s AS (SELECT * FROM p WHERE p_size > 30 AND p_size < 48 AND p_retailprice > 905), n AS (SELECT * FROM s WHERE p_brand <> 'Brand#3')
+    SELECT p_partkey AS id, 'stale' AS kind, CASE WHEN p_retailprice >= 950 THEN 'missing text' ELSE 'changed text' END AS field, '' AS value FROM s
+    UNION ALL SELECT p_partkey, 'unavailable', '', '' FROM s WHERE p_brand = 'Brand#3'
+    UNION ALL SELECT p_partkey, 'proposal', 'abstract', 'found' FROM n WHERE p_size <= 40
+    UNION ALL SELECT p_partkey, 'person', 'abstract', 'refused' FROM n WHERE p_size > 40 AND p_partkey % 2 = 0
+    UNION ALL SELECT p_partkey, 'other', 'abstract', 'provider-missing' FROM n WHERE p_size > 40 AND p_partkey % 2 = 1
+    UNION ALL SELECT p_partkey, 'proposal', 'volume', '9' FROM n WHERE p_size > 40 AND p_size % 5 > 0
+    UNION ALL SELECT p_partkey, 'other', 'volume', CASE WHEN p_size % 5 = 0 THEN 'provider-missing' ELSE 'substantive-difference' END FROM n WHERE p_size <= 40
+    UNION ALL SELECT p_partkey, 'other', 'title', 'substantive-difference' FROM n WHERE p_size % 2 = 0
+    UNION ALL SELECT p_partkey, 'other', 'keywords', 'substantive-difference' FROM n WHERE p_size % 3 = 0
+    UNION ALL SELECT p_partkey, 'other', 'authors', 'substantive-difference' FROM n WHERE p_size % 7 = 0
+    UNION ALL SELECT p_partkey, 'other', 'created_date', 'substantive-difference' FROM n WHERE p_size % 4 = 0""")
 def e8(spark, sf):
-    p = V.table(spark, sf, "part").select(V.doi("10.1/p", "p_partkey").alias("doi"), "p_retailprice", F.col("p_name").alias("text"))
-    stored = p.withColumn("text", F.when(F.col("p_retailprice") > 905, F.upper("text")).otherwise(F.col("text"))).filter("p_retailprice < 950")
-    stale, props, other = E.refresh(_pubs(spark, sf), stored.select("doi", "text"), p.select("doi", "text"), _values(spark, sf), ["abstract", "volume"], ["ECONOMY", "SMALL"])
-    tag = lambda d, k, f: d.select("id", F.lit(k).alias("kind"), f.alias("field"))
-    return tag(stale, "stale", F.lit("")).unionByName(tag(props, "proposal", F.col("field"))).unionByName(tag(other, "other", F.col("field")))
+    """Parts whose citation text changed, made anew with values that are equal, written otherwise, different, missing or refused."""
+    p = V.table(spark, sf, "part").withColumn("doi", V.doi("10.1/p", "p_partkey"))
+    size, lit = F.col("p_size"), F.lit
+    person = lambda given: F.array(F.struct(given.alias("given"), F.initcap(F.split_part("p_name", lit(" "), lit(2))).alias("family"), lit(None).cast("string").alias("literal")))
+    day = lambda d: F.date_add(lit("1992-01-01"), size + d)
+    pubs = _pubs(spark, sf).join(p.select(F.col("p_partkey").alias("id"), F.array("p_brand").alias("keywords"), person(lit("Maria")).alias("authors"), day(lit(0)).alias("created_date")), "id")
+    fresh = p.filter("p_brand <> 'Brand#3'").select(
+        "doi", "p_type", F.col("p_type").alias("type"), F.when(size % 2 == 0, F.concat("p_name", lit(" two"))).otherwise(F.upper("p_name")).alias("title"),
+        F.when(size <= 40, "found").otherwise("").alias("abstract"), F.when(size % 5 > 0, "9").otherwise("").alias("volume"),
+        F.when(size % 3 == 0, F.array("p_brand", "p_type")).otherwise(F.array(F.upper("p_brand"))).alias("keywords"),
+        F.when(size % 7 == 0, person(lit("Zed"))).otherwise(person(lit("M."))).alias("authors"), day(F.when(size % 4 == 0, 1).otherwise(0)).alias("created_date"))
+    refused = p.filter("p_partkey % 2 = 0").select("doi", lit("crossref").alias("source"), lit("<x>").alias("value"), lit("refused").alias("reason"))
+    text = p.select("doi", "p_retailprice", F.col("p_name").alias("text"))
+    stored = text.withColumn("text", F.when(F.col("p_retailprice") > 905, F.upper("text")).otherwise(F.col("text"))).filter("p_retailprice < 950")
+    stale, props, other, gone = E.refresh(pubs, stored.select("doi", "text"), text.select("doi", "text"), fresh, refused, ["abstract", "volume"], ["ECONOMY", "SMALL"])
+    tag = lambda d, k, f, v: d.select("id", (F.lit(k) if isinstance(k, str) else k).alias("kind"), f.alias("field"), v.alias("value"))
+    why = F.when(F.col("review_required"), F.get(F.col("evidence.reason"), lit(0))).otherwise(F.col("proposed_value"))
+    return (tag(stale, "stale", F.col("reason"), lit("")).unionByName(tag(gone, "unavailable", lit(""), lit("")))
+            .unionByName(tag(props, F.when(F.col("review_required"), "person").otherwise("proposal"), F.col("field"), why))
+            .unionByName(tag(other, "other", F.col("field"), F.col("classification"))))
 
 
 @query("e9_publisher_of", """SELECT page_id, CASE WHEN contains(html, 'lang="fr"') THEN 'springer' WHEN contains(html, 'lang="de"') THEN 'elsevier' WHEN contains(html, 'lang="es"') THEN 'ieee' END AS publisher FROM pages""")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from quire.functions import identity as I, text as T
 from quire.operators import aliases as AL, evidence as E, merge as MG, sets as O, state as ST
 from quire.plans import views as V
 from quire.plans.catalog import query
+from quire.session import cut_lineage
 
 _W = V.with_
 
@@ -393,6 +396,109 @@ def h7(spark, sf):
             .unionByName(bad, allowMissingColumns=True))
 
 
+# One change of the ordered log in SQL: the step by the state before, and the state after it.
+_REVIEW_STEP = "CASE WHEN NOT review THEN 'not in review' WHEN queued OR rejected THEN 'incompatible state' ELSE 'first decision' END"
+_CORRECTION_STEP = """CASE WHEN sup IS NOT NULL THEN 'superseded' WHEN NOT (ev OR outcome IS NOT NULL OR canonical OR queued OR review OR rejected OR staged) THEN 'unknown key'
+      WHEN canonical AND rejected THEN 'canonical and rejected'
+      WHEN review THEN CASE WHEN canonical OR queued OR staged OR rejected THEN 'incompatible state' ELSE 'first decision' END
+      WHEN (d = 'keep' AND ((canonical AND NOT rejected) OR queued OR staged)) OR (d = 'reject' AND rejected AND NOT canonical AND NOT staged) THEN 'no-op'
+      WHEN NOT ev THEN 'evidence required' ELSE 'correct' END"""
+
+
+def _fold_step(before: str, after: str, decision: str, step: str) -> str:
+    return f"""{after}d AS (SELECT *, {decision} AS d FROM {before}),
+    {after}s AS (SELECT *, CASE WHEN d IS NOT NULL THEN CASE WHEN d NOT IN ('keep', 'reject') THEN 'unknown decision' ELSE {step} END END AS step FROM {after}d),
+    {after}t AS (SELECT *, coalesce(step IN ('first decision', 'correct'), false) AS done FROM {after}s),
+    {after} AS (SELECT doi, canonical AND NOT (done AND d = 'reject') AS canonical, CASE WHEN done THEN d = 'keep' ELSE queued END AS queued, review AND NOT done AS review,
+      CASE WHEN done THEN d = 'reject' ELSE rejected END AS rejected, staged AND NOT (done AND d = 'reject') AS staged, ev, sup,
+      CASE WHEN step = 'first decision' AND ev THEN d ELSE human END AS human, CASE WHEN step = 'correct' THEN d ELSE corr END AS corr,
+      CASE WHEN done AND outcome IS NOT NULL THEN CASE d WHEN 'keep' THEN 'queued' ELSE 'rejected' END ELSE outcome END AS outcome,
+      CASE WHEN done AND d = 'reject' AND outcome IS NOT NULL AND item_state = 'active' THEN 'completed' ELSE item_state END AS item_state,
+      price, k, batch_no, concat_ws(' > ', nullif(steps, ''), step) AS steps FROM {after}t)"""
+
+
+_CHANGED = _W("members") + """, c0 AS (SELECT m.doi, m.canonical, m.queued, m.review, m.rejected, m.staged, m.price, m.ord AS k, o.o_custkey % 40 AS batch_no,
+      m.price > 60000 AS ev, CASE WHEN m.ord % 50 = 0 THEN 'x' END AS sup, NULL::VARCHAR AS human, NULL::VARCHAR AS corr,
+      CASE WHEN m.status <> 'F' THEN 'review' END AS outcome, CASE WHEN m.status = 'O' THEN 'active' WHEN m.status = 'P' THEN 'completed' END AS item_state, NULL::VARCHAR AS steps
+      FROM members m JOIN orders o ON o.o_orderkey = m.ord),
+    """ + ",\n    ".join([
+    _fold_step("c0", "c1", "CASE WHEN price > 30000 THEN CASE WHEN k % 97 = 0 THEN 'maybe' WHEN price > 150000 THEN 'keep' ELSE 'reject' END END", _REVIEW_STEP),
+    _fold_step("c1", "c2", "CASE WHEN k % 3 = 0 THEN CASE WHEN price > 150000 THEN 'reject' ELSE 'keep' END END", _CORRECTION_STEP),
+    _fold_step("c2", "c3", "CASE WHEN k % 6 = 0 THEN 'keep' END", _CORRECTION_STEP)])
+
+
+def _changed(spark, sf):
+    """State of the orders before and after three ordered changes, and what each change did."""
+    o = V.table(spark, sf, "orders")
+    key, price, k = V.doi("10.1/o", "o_orderkey").alias("doi"), F.col("o_totalprice"), F.col("o_orderkey")
+    evidence = o.filter("o_totalprice > 60000").select(key, F.lit(None).cast("string").alias("human_decision"), F.lit(None).cast("string").alias("correction_decision"))
+    report = o.filter("o_orderstatus <> 'F'").select(key, F.lit("review").alias("outcome"))
+    items = o.filter("o_orderstatus <> 'F'").select(V.doi("10.1/o", "o_orderkey").alias("key"), F.when(F.col("o_orderstatus") == "O", "active").otherwise("completed").alias("state"),
+                                                    F.lit("").alias("detail"))
+    aliases = o.filter("o_orderkey % 50 = 0").select(V.doi("10.1/o", "o_orderkey").alias("src"), F.lit("x").alias("terminal"))
+    before = cut_lineage(ST.change_state(_members(spark, sf), evidence, report, items, aliases))
+    opinion = F.when(price > 150000, " Keep").otherwise("reject")
+    log = [
+        o.filter(price > 30000).select(key, F.lit(1).alias("seq"), F.lit("review").alias("kind"), F.when(k % 97 == 0, "maybe").otherwise(opinion).alias("decision")),
+        o.filter(k % 3 == 0).select(key, F.lit(2).alias("seq"), F.lit("correction").alias("kind"), F.when(price > 150000, "reject").otherwise("keep").alias("decision")),
+        o.filter(k % 6 == 0).select(key, F.lit(3).alias("seq"), F.lit("correction").alias("kind"), F.lit("keep").alias("decision"))]
+    return before, *ST.fold_changes(before, log[2].unionByName(log[0]).unionByName(log[1]))
+
+
+@query("j24_change_log", _CHANGED + """ SELECT doi, canonical, queued, review, rejected, staged, human AS human_decision, corr AS correction_decision, outcome, item_state, steps
+    FROM c3 WHERE canonical OR queued OR review OR rejected OR staged OR ev OR outcome IS NOT NULL OR steps <> ''""")
+def j24_log(spark, sf):
+    _, after, results = _changed(spark, sf)
+    steps = results.groupBy("doi").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "step"))), lambda r: r["step"]), " > ").alias("steps"))
+    out = after.join(steps, "doi", "full").withColumn("steps", F.coalesce("steps", F.lit("")))
+    flags = ("canonical", "queued", "review", "rejected", "staged")
+    return out.select("doi", *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in flags], "human_decision", "correction_decision", "outcome", "item_state", "steps")
+
+
+@query("h7_after_effects", _CHANGED + """, p AS (SELECT CASE WHEN o_orderkey % 10 <> 0 THEN '10.1/o' || o_orderkey END AS doi, """ + V._UUID.format("o_orderkey::VARCHAR") + """ AS id FROM orders WHERE o_orderstatus = 'F'),
+    gone AS (SELECT a.doi FROM c0 a JOIN c3 b ON a.doi = b.doi WHERE a.canonical AND NOT b.canonical),
+    ch AS (SELECT b.*, a.outcome AS old_outcome, a.item_state AS old_state FROM c0 a JOIN c3 b ON a.doi = b.doi)
+    SELECT 'registry' AS what, coalesce('doi:' || doi, 'id:' || id) AS key, '' AS value FROM p WHERE coalesce(doi NOT IN (SELECT doi FROM gone), true)
+    UNION ALL SELECT 'report', doi, outcome FROM ch WHERE outcome IS DISTINCT FROM old_outcome
+    UNION ALL SELECT 'item', doi, item_state FROM ch WHERE item_state IS DISTINCT FROM old_state
+    UNION ALL SELECT 'batch', batch_no::VARCHAR, 'closed' FROM ch WHERE item_state IS NOT NULL GROUP BY batch_no
+      HAVING count(*) FILTER (item_state = 'active') = 0 AND bool_or(item_state IS DISTINCT FROM old_state)""")
+def h7_after(spark, sf):
+    before, after, _ = _changed(spark, sf)
+    o, key = V.table(spark, sf, "orders"), V.doi("10.1/o", "o_orderkey")
+    pubs = o.filter("o_orderstatus = 'F'").select(F.when(F.col("o_orderkey") % 10 != 0, key).alias("doi"), V.uuid_of(F.col("o_orderkey").cast("string")).alias("id"), F.lit(0).alias("side"), F.col("o_orderkey").alias("ord"))
+    batches = o.filter("o_orderstatus <> 'F'").select((F.col("o_custkey") % 40).alias("batch_no"), key.alias("key"), F.lit(False).alias("closed"))
+    out = ST.follow_up(before, after, pubs, batches)
+    row = lambda df, what, k, v: df.select(F.lit(what).alias("what"), F.col(k).cast("string").alias("key"), v.alias("value"))
+    return reduce(DataFrame.unionByName, [
+        row(out["registry"], "registry", "token", F.lit("")), row(out["report"], "report", "doi", F.col("outcome")),
+        row(out["items"], "item", "key", F.col("state")), row(out["closed_batches"], "batch", "batch_no", F.lit("closed"))])
+
+
+@query("h6_after_effects", _W("members", "present") + """, ch AS (SELECT '10.1/o' || o_orderkey AS src, '10.1/o' || (o_orderkey + 1) AS dst FROM orders),
+    r AS (SELECT c.src, c.dst, coalesce(d.canonical OR d.queued OR d.staged, false) AS placed FROM ch c JOIN present s ON s.doi = c.src LEFT JOIN present d ON d.doi = c.dst
+      WHERE NOT s.canonical AND NOT s.rejected AND NOT coalesce(d.rejected OR d.review, false)),
+    st AS (SELECT m.doi, m.queued, m.review, m.staged, CASE WHEN m.status <> 'F' THEN 'review' END AS outcome,
+      CASE WHEN m.status = 'O' THEN 'active' WHEN m.status = 'P' THEN 'completed' END AS item_state FROM members m),
+    a AS (SELECT st.doi, r.dst AS superseded_by, (queued AND r.dst IS NULL) OR st.doi IN (SELECT dst FROM r WHERE NOT placed) AS queued, review AND r.dst IS NULL AS review, staged AND r.dst IS NULL AS staged,
+      CASE WHEN r.dst IS NOT NULL AND outcome IS NOT NULL THEN 'skipped' ELSE outcome END AS outcome,
+      CASE WHEN r.dst IS NOT NULL AND item_state = 'active' THEN 'completed' ELSE item_state END AS item_state,
+      CASE WHEN r.dst IS NOT NULL AND item_state = 'active' THEN 'superseded by ' || r.dst ELSE CASE WHEN item_state IS NOT NULL THEN '' END END AS detail
+      FROM st LEFT JOIN r ON r.src = st.doi)
+    SELECT * FROM a WHERE doi IN (SELECT doi FROM present) OR outcome IS NOT NULL OR doi IN (SELECT dst FROM r WHERE NOT placed)
+    UNION ALL SELECT DISTINCT dst, NULL, true, false, false, NULL, NULL, NULL FROM r WHERE NOT placed AND dst NOT IN (SELECT doi FROM st)""")
+def h6_after(spark, sf):
+    o = V.table(spark, sf, "orders")
+    key = V.doi("10.1/o", "o_orderkey").alias("doi")
+    open_ = o.filter("o_orderstatus <> 'F'")
+    none = spark.createDataFrame([], "doi string, human_decision string, correction_decision string")
+    items = open_.select(key.alias("key"), F.when(F.col("o_orderstatus") == "O", "active").otherwise("completed").alias("state"), F.lit("").alias("detail"))
+    state = ST.change_state(_members(spark, sf), none, open_.select(key, F.lit("review").alias("outcome")), items, spark.createDataFrame([], "src string, terminal string"))
+    ch = o.select(V.doi("10.1/o", "o_orderkey").alias("src"), F.concat(F.lit("10.1/o"), (F.col("o_orderkey") + 1).cast("string")).alias("dst"))
+    moves, _ = ST.replace_keys(_members(spark, sf), spark.createDataFrame([], "src string, terminal string"), ch)
+    return ST.supersede(state, moves).select("doi", "superseded_by", "queued", "review", "staged", "outcome", "item_state", "detail")
+
+
 @query("a17_init_status", _W("members") + """ SELECT count(*) AS total, count(*) FILTER (status = 'P') AS unscreened,
     count(*) FILTER (queued AND NOT staged AND NOT canonical) AS queued, count(*) FILTER (review) AS review,
     count(*) FILTER (staged AND NOT canonical) AS staged, count(*) FILTER (canonical) AS merged, count(*) FILTER (rejected) AS rejected,
