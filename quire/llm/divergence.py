@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quire.llm.batches import slices, split_words, word_table
+from quire.llm.joins import bounded
 from quire.llm.worker import kept
 from quire.session import stored
 
@@ -31,6 +32,10 @@ SHARD_COUNTS = 4_000_000
 WAVE_BYTES = 64 << 20
 #: Counters of a task before it hands them on.
 TASK_COUNTERS = 8_000_000
+#: Bytes of text whose document counts are added up at once.
+COUNT_BYTES = 6 << 20
+#: Rows of a table, one for each language, that may go to all workers.
+BROADCAST_LANGS = 100_000
 #: Share of a group in a term: parts of this unit.
 UNIT = 1_000_000_000
 
@@ -131,7 +136,7 @@ def _prepared(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, term, documents) of a slice of texts, each term once for a document."""
     for whole in batches:
-        for batch in slices(whole, "sd_text", 16 << 20):
+        for batch in slices(whole, "sd_text", COUNT_BYTES):
             flat, offsets = split_words(batch.column("sd_text"), TERM_BYTES)
             if not len(flat):
                 continue
@@ -176,7 +181,7 @@ def perfect_hashes(terms: DataFrame, sources: DataFrame, shard_terms: int = SHAR
 
     size = F.greatest(F.lit(1), F.least(F.lit(shard_terms), F.floor(F.lit(SHARD_COUNTS) / F.col("sources"))))
     sizes = terms.groupBy("lang").agg(F.count("*").alias("terms")).join(sources, "lang").select("lang", F.ceil(F.col("terms") / size).cast("long").alias("shards"))
-    dealt = terms.join(sizes, "lang").mapInArrow(hashed, "lang string, term string, shards long, shard long")
+    dealt = terms.join(bounded(stored(sizes, "divergence-shards"), BROADCAST_LANGS), "lang").mapInArrow(hashed, "lang string, term string, shards long, shard long")
     made = dealt.groupBy("lang", "shard").applyInArrow(_build_shard, "lang string, shard long, shards long, sizes array<int>, bits binary, n long, terms string")
     # in a worker: keys with their offsets, one byte and four bytes of rank for each of the bits
     return made.withColumn("bytes", F.octet_length("terms") + F.col("n") * 4 + F.length("bits") * 40 + 200)
@@ -197,15 +202,19 @@ def _recount(table, key: str):
                 row = owners[slot]
                 yield pa.RecordBatch.from_arrays(
                     [pa.repeat(lang_of[lang], len(used)), pa.repeat(source, len(used)), pa.array(shard_of[row]),
-                     pa.array((slot - own.first_slot[row]).astype(np.int32)), pa.array(counts[used])], names=["lang", "source", "shard", "slot", "n"])
+                     pa.array((slot - own.first_slot[row]).astype(np.int32)), pa.array(counts[used].astype(np.int64))], names=["lang", "source", "shard", "slot", "n"])
             groups.clear()
 
-        held = 0
+        held = counted = 0
         for whole in batches:
             for batch in slices(whole, "sd_text"):
                 flat, offsets = split_words(batch.column("sd_text"), TERM_BYTES)
                 if not len(flat):
                     continue
+                counted += len(flat)
+                if counted > np.iinfo(np.int32).max:  # no counter can have overflowed before
+                    yield from handed()
+                    held, counted = 0, len(flat)
                 coded = flat.dictionary_encode()
                 code, hashes = coded.indices.to_numpy(), term_hashes(coded.dictionary.to_pylist())
                 langs, sources = batch.column("lang").dictionary_encode(), batch.column("source").dictionary_encode()
@@ -231,13 +240,13 @@ def _recount(table, key: str):
                         if held + high - low > TASK_COUNTERS and groups:
                             yield from handed()
                             held = 0
-                        groups[number, source] = np.zeros(high - low, dtype=np.int64)
+                        groups[number, source] = np.zeros(high - low, dtype=np.int32)
                         held += high - low
                     counts = groups[number, source]
                     if len(slots) * 8 < high - low:
                         np.add.at(counts, slots - low, 1)
                     else:
-                        counts += np.bincount(slots - low, minlength=high - low)
+                        counts += np.bincount(slots - low, minlength=high - low).astype(np.int32)
         yield from handed()
     return run
 
@@ -250,14 +259,14 @@ def group_counts(docs: DataFrame, shards: DataFrame, wave_bytes: int = WAVE_BYTE
     single shard larger than the bound makes a wave of its own.
     """
     spark = docs.sparkSession
-    total = shards.agg(F.sum("bytes")).first()[0] or 0
-    waves = max(1, -(-total // wave_bytes))
+    total, most = shards.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+    waves = max(1, min(-(-total // wave_bytes), most))
     while True:
         dealt = shards.withColumn("wave", F.pmod(F.xxhash64("lang", "shard"), F.lit(waves)))
         worst = dealt.groupBy("wave").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).where((F.col("bytes") > wave_bytes) & (F.col("n") > 1))
-        if waves > 64 * (total // wave_bytes + 1) or worst.isEmpty():
+        if waves >= most or worst.isEmpty():
             break
-        waves *= 2
+        waves = min(2 * waves, most)
     schema = "lang string, source string, shard long, slot int, n long"
     parts = None
     for wave in range(waves):
