@@ -154,10 +154,12 @@ def evidence_fingerprint(doi, payload) -> Column:
 
 
 def apply_repairs(works: DataFrame, repairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Reviewed contributors for works whose payload is unchanged, and stale repairs.
+    """Reviewed contributors for works whose payload is unchanged, and the other repairs as ``(doi, status)``.
 
+    A repair is ``stale`` when the payload changed and ``gone`` when its work is not there any more.
     ``works``: doi, payload (canonical JSON). ``repairs``: doi, fingerprint, authors, editors.
     """
-    both = repairs.join(works.select("doi", evidence_fingerprint(F.col("doi"), F.col("payload")).alias("now")), "doi")
-    return (both.filter("now = fingerprint").select("doi", "authors", "editors"),
-            both.filter("now <> fingerprint").select("doi"))
+    now = works.select("doi", evidence_fingerprint(F.col("doi"), F.col("payload")).alias("now"))
+    both = repairs.join(now, "doi", "left").withColumn("status", F.when(F.col("now").isNull(), "gone").when(F.col("now") != F.col("fingerprint"), "stale"))
+    return (both.filter("status IS NULL").select("doi", "authors", "editors"),
+            both.filter("status IS NOT NULL").select("doi", "status"))

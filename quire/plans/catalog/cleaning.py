@@ -152,14 +152,16 @@ def h2_bad(spark, sf):
     return H.apply_hygiene(_piece_lists(spark, sf), p, dec)[2]
 
 
-@query("j10_apply_repairs", """SELECT '10.1/o' || o_orderkey AS doi, CASE WHEN o_orderstatus = 'F' THEN 'stale' ELSE 'ok' END AS status FROM orders WHERE o_orderpriority = '1-URGENT'""")
+@query("j10_apply_repairs", """SELECT '10.1/o' || o_orderkey AS doi, CASE WHEN o_orderstatus = 'F' THEN 'stale' ELSE 'ok' END AS status FROM orders WHERE o_orderpriority = '1-URGENT'
+    UNION ALL SELECT '10.1/gone' || c_custkey, 'gone' FROM customer""")
 def j10(spark, sf):
     o = V.table(spark, sf, "orders").select(V.doi("10.1/o", "o_orderkey").alias("doi"), F.to_json(F.struct("o_custkey", "o_orderpriority")).alias("payload"), "o_orderstatus", "o_orderpriority")
     fp = H.evidence_fingerprint(F.col("doi"), F.when(F.col("o_orderstatus") == "F", "{}").otherwise(F.col("payload")))
     none = F.array().cast("array<string>")
     rep = o.filter("o_orderpriority = '1-URGENT'").select("doi", fp.alias("fingerprint"), F.array(F.lit("A B")).alias("authors"), none.alias("editors"))
-    ok, stale = H.apply_repairs(o, rep)
-    return ok.select("doi", F.lit("ok").alias("status")).unionByName(stale.select("doi", F.lit("stale").alias("status")))
+    gone = V.table(spark, sf, "customer").select(V.doi("10.1/gone", "c_custkey").alias("doi"), F.lit("x").alias("fingerprint"), none.alias("authors"), none.alias("editors"))
+    ok, other = H.apply_repairs(o, rep.unionByName(gone))
+    return ok.select("doi", F.lit("ok").alias("status")).unionByName(other)
 
 
 @query("a12_hygiene_report", _VIEW + """ SELECT count(*) AS scanned, count(*) FILTER (trim(text) <> '') AS present, count(*) FILTER (len(f) > 0) AS suspicious,

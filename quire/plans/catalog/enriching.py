@@ -65,17 +65,17 @@ def inverted(spark, sf) -> DataFrame:
     rec = F.struct(F.concat(F.lit("10.1/D"), F.col("doc_id").cast("string")).alias("doi"), F.concat(F.lit(" "), "source").alias("title"), F.lit(2020).alias("publication_year"),
                    F.array(F.struct(F.lit(None).cast("string").alias("raw_author_name"), F.struct(F.col("source").alias("display_name")).alias("author"))).alias("authorships"),
                    F.struct(F.lit("3").alias("volume"), F.lit("7").alias("first_page"), F.col("lang").alias("last_page")).alias("biblio"), F.col("m").alias("abstract_inverted_index"))
-    return d.select("doc_id", "lang", "source").join(maps, "doc_id").select("doc_id", F.to_json(rec).alias("json"))
+    return d.select("doc_id", "lang", "source").join(maps, "doc_id", "left").select("doc_id", F.to_json(rec).alias("json"))
 
 
-@query("e4_text_from_index", r"""SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS h FROM documents WHERE trim(text) <> ''""")
+@query("e4_text_from_index", r"""SELECT doc_id, md5(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS h FROM documents""")
 def e4(spark, sf):
     return W.parse(inverted(spark, sf), "json", W.OPENALEX_SCHEMA).select("doc_id", F.md5(W.inverted_text("abstract_inverted_index")).alias("h"))
 
 
 @query("s9_openalex_evidence", r"""SELECT '10.1/d' || doc_id AS doi, f.field, CASE f.field WHEN 'identifiers.doi' THEN '10.1/d' || doc_id WHEN 'title' THEN source
-    WHEN 'abstract' THEN md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) WHEN 'publication_year' THEN '2020' WHEN 'volume' THEN '3' WHEN 'pages' THEN '7-' || lang WHEN 'authors' THEN source ELSE '' END AS value
-    FROM documents, (SELECT unnest(['identifiers.doi','title','abstract','container_title','publication_year','volume','issue','pages','authors']) AS field) f WHERE trim(text) <> ''""")
+    WHEN 'abstract' THEN md5(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) WHEN 'publication_year' THEN '2020' WHEN 'volume' THEN '3' WHEN 'pages' THEN '7-' || lang WHEN 'authors' THEN source ELSE '' END AS value
+    FROM documents, (SELECT unnest(['identifiers.doi','title','abstract','container_title','publication_year','volume','issue','pages','authors']) AS field) f""")
 def s9(spark, sf):
     ev = W.openalex_evidence(W.parse(inverted(spark, sf), "json", W.OPENALEX_SCHEMA))
     v = F.array_join("value", "|")

@@ -108,6 +108,18 @@ def s5(spark, sf):
     return spark.read.text(path)
 
 
+@query("s6_read_author_mapping", """SELECT p_brand || '-' || p_size AS slug, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS pos, p_name AS name FROM part""")
+def s6(spark, sf):
+    """Mapping documents, one for each size of part, of brand to the names of its parts."""
+    path = scratch(spark)
+    p = V.table(spark, sf, "part")
+    names = p.groupBy("p_size", F.concat_ws("-", "p_brand", F.col("p_size").cast("string")).alias("slug")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: F.concat(F.lit(" "), x["p_name"])).alias("names"))
+    docs = names.groupBy("p_size").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("slug", "names")))).alias("value"))
+    docs.repartition("p_size").write.partitionBy("p_size").text(path)
+    return D.read_author_mapping(spark, f"{path}/*")
+
+
 @query("s7_read_evidence", """SELECT '10.1/d' || doc_id AS doi, CASE WHEN lang = 'en' THEN source ELSE '' END AS container_title, CASE WHEN lang = 'fr' THEN 'keep' ELSE '' END AS correction_decision FROM documents""")
 def s7(spark, sf):
     d = V.table(spark, sf, "documents")

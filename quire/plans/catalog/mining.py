@@ -105,6 +105,15 @@ def c5(spark, sf):
     return out.select("doi", "outcome")
 
 
+@query("c5_screening_counts", _BASE + """,
+    known AS (SELECT doi FROM labels_view WHERE source = 'human'),
+    gone AS (SELECT doi FROM labels_view WHERE label = 'reject')
+    SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN doi IN (SELECT doi FROM known) OR doi IN (SELECT doi FROM gone) OR contains(doi, 'd99')
+        THEN 'skipped' WHEN work_type NOT IN ('en', 'fr', 'de') THEN 'rejected' ELSE outcome END AS outcome FROM triaged) GROUP BY outcome""")
+def c5_counts(spark, sf):
+    return S.screening_counts(c5(spark, sf))
+
+
 @query("f17_wilson_lower", f"""SELECT doc_id, round({_wilson('len(w)', 'n')}, 9) AS wilson,
     round(len(w) / n, 9) AS share FROM (SELECT doc_id, greatest(n_chars, 1) AS n,
     regexp_extract_all(text, 'e') AS w FROM documents)""")
