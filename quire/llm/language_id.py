@@ -29,7 +29,7 @@ MAX_LABELS = 2000
 #: Letters of a word that the vectorised pass takes; longer words are scored one by one with rescaling.
 LONG_WORD = 40
 CACHE_UNITS = 80_000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -238,38 +238,51 @@ def _expectation(model: PieceModel):
 
 
 class Scorer:
-    """Sums of word likelihoods of whole texts; recurring units are kept."""
+    """Sums of word likelihoods of whole texts; recurring units are kept, their values in one table of ``CACHE_UNITS`` rows."""
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.kept: dict[str, np.ndarray] = {}
-
-    def _learn(self, units: list[str]) -> dict[str, np.ndarray]:
-        fresh = {u: words_of(u) for u in units if u not in self.kept}
-        flat = [w for ws in fresh.values() for w in ws]
-        distinct = sorted(set(flat))
-        values: dict[str, np.ndarray] = {}
-        for at in range(0, len(distinct), 8192):
-            part = distinct[at:at + 8192]
-            values.update(zip(part, self.model.log_likelihood(part)))
-        none = np.zeros(len(self.model.labels) + 1)
-        out = {}
-        for u, ws in fresh.items():
-            out[u] = none if not ws else np.append(sum(values[w] for w in ws), len(ws))
-        found = {u: self.kept[u] for u in units if u in self.kept} | out
-        if len(self.kept) + len(out) > CACHE_UNITS:
-            self.kept = {}
-        self.kept.update(list(out.items())[:CACHE_UNITS])
-        return found
+        self.kept: dict[str, int] = {}
+        self.table = np.zeros((CACHE_UNITS, len(model.labels) + 1))
+
+    def _values(self, units: list[str]) -> np.ndarray:
+        """For each unit the log likelihoods of its words, added up, and their number."""
+        cut = [words_of(u) for u in units]
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        place: dict[str, int] = {}
+        index = np.fromiter((place.setdefault(w, len(place)) for ws in cut for w in ws), np.int64, int(counts.sum()))
+        distinct = list(place)
+        out = np.zeros((len(units), self.table.shape[1]))
+        if not distinct:
+            return out
+        found = np.concatenate([self.model.log_likelihood(distinct[at:at + 8192]) for at in range(0, len(distinct), 8192)])
+        owner = np.repeat(np.arange(len(units)), counts)
+        for j in range(found.shape[1]):
+            out[:, j] = np.bincount(owner, found[index, j], len(units))
+        out[:, -1] = counts
+        return out
+
+    def _learn(self, units: list[str]) -> np.ndarray:
+        """Values of distinct units; new ones are kept, and all older ones dropped when the table is full."""
+        at = np.fromiter((self.kept.get(u, -1) for u in units), np.int64, len(units))
+        new = np.flatnonzero(at < 0)
+        out = self.table[at]
+        if len(new):
+            out[new] = self._values([units[k] for k in new.tolist()])
+            if len(self.kept) + len(new) > CACHE_UNITS:
+                self.kept = {}
+            room = new[:CACHE_UNITS - len(self.kept)]
+            first = len(self.kept)
+            self.table[first:first + len(room)] = out[room]
+            self.kept.update({units[k]: first + i for i, k in enumerate(room.tolist())})
+        return out
 
     def sums(self, texts: pa.Array) -> np.ndarray:
         """For each text the log likelihoods and, last, the number of words."""
         lists = pc.utf8_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         units = coded.dictionary.to_pylist()
-        known = self._learn(units)
-        width = len(self.model.labels) + 1
-        rows = np.array([known[u] for u in units]).reshape(len(units), width)
+        width, rows = len(self.model.labels) + 1, self._learn(units)
         index = coded.indices.to_numpy(zero_copy_only=False)
         offsets = lists.offsets.to_numpy()
         offsets = offsets - offsets[0]
