@@ -27,7 +27,7 @@ def test_stages_against_brute_force(spark, sf):
     given, kept = rows_of(docs), rows_of(first)
     assert set(given) - set(kept) == {90001, 90002, 90003} and all(kept[k].text == given[k].text for k in kept)
     second = stages["line_dedup"](spark, first, sf).cache()
-    want = brute_lines([(k, r.text) for k, r in kept.items()], 2, 40)
+    want = brute_lines([(k, r.text) for k, r in kept.items()], 2, 40, 1)
     want = {k: t for k, t in want.items() if t.strip() or t == kept[k].text}
     cut = rows_of(second)
     assert second.columns == docs.columns and {k: r.text for k, r in cut.items()} == want
@@ -55,7 +55,7 @@ def test_empty_documents(spark, sf):
 def test_registry():
     names = entry.queries()
     assert [n for n in names if n.startswith("op")] == list(queries()) and "pipeline" in names
-    assert len({n.split("_")[0] for n in queries()}) == 10
+    assert len({n.split("_")[0] for n in queries()}) == 13
     assert set(entry.oracle_sql()) <= set(names)
 
 
@@ -73,6 +73,6 @@ def test_language_query(spark, sf):
 def test_line_query(spark, sf, name):
     import hashlib
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    want = brute_lines(docs, 2, 40)
+    want = brute_lines(docs, 2, 40, 1)
     got = {r.doc_id: r.text_sha256 for r in queries()[name](spark, sf).collect()}
     assert got == {k: None if t is None else hashlib.sha256(t.encode()).hexdigest() for k, t in want.items()}
