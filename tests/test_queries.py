@@ -47,3 +47,11 @@ def test_every_query_has_scalar_columns(spark, sf):
 
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_display_name_query(spark, tmp_path):
+    """The literal name, else given and family; rows of its own, since the short list leaves this query out."""
+    rows = [(1, "red blue green", "Brand#1", 30), (2, "red blue green", "Brand#1", 25), (2, "red blue", "Brand#2", 1), (3, "a b", "Brand#3", None), (None, "a b", "Brand#4", 40)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = sorted((str(r.p_partkey), r.name) for r in entry.queries()["c17_display_name"](spark, str(tmp_path)).collect())
+    assert got == [("1", "Brand#1"), ("2", "red blue"), ("2", "red blue"), ("3", "a b"), ("None", "Brand#4")]
