@@ -136,6 +136,35 @@ def test_deduplicate_repeated_ids(spark):
     assert got == Counter([(1, text(1)), (5, text(2)), (5, text(3)), (7, text(5)), (8, text(6)), (9, ""), (9, ""), (9, None), (9, text(7)), (None, text(1)), (None, text(1))])
 
 
+def test_open_sets_in_blocks(spark, monkeypatch):
+    """Links of sets in many small blocks against brute force, with runs of one set, and nothing through the driver."""
+    r = random.Random(5)
+    sets = []
+    for cls in range(90):
+        base = range(1000 * (cls % 4), 1000 * (cls % 4) + 24)
+        sets.append((cls - 40, cls % 7, sorted(t for t in {*r.sample(base, r.randint(16, 24)), *range(cls * 10_000, cls * 10_000 + r.randint(0, 3))})))
+    share = Counter(t for _, _, own in sets for t in own)
+    lists = []
+    for cls, part, own in sets:
+        ranked = sorted(own, key=lambda t: (share[t], t))
+        lead = len(own) - J.need(len(own))
+        rows = [(t, max(1, k - lead + 1), share[t]) for k, t in enumerate(ranked) if share[t] > 1]
+        if len(rows) >= J.need(len(own)):
+            lists.append((cls, part, len(own), rows, r.choice([1, 2, 4])))
+    held = {c: set(own) for c, _, own in sets}
+    want = sorted((a, b, s, t) for a, p, n, _, _ in lists for b, q, m, _, _ in lists if p != q and (m, b) < (n, a)
+                  for s, t in [(len(held[a] & held[b]), len(held[a] | held[b]))] if 100 * s >= 75 * t)
+    assert len(want) > 100
+    df = spark.createDataFrame(lists, "cls long, part long, n int, rows array<struct<token: long, level: int, df: long>>, l int")
+    monkeypatch.setattr(type(df), "toArrow", None)  # the sets stay with the workers
+    for block, run in ((100, 1), (700, 2000), (10 ** 6, 10 ** 6)):
+        monkeypatch.setattr(J, "BLOCK_ENTRIES", block)
+        monkeypatch.setattr(J, "RUN_POSTINGS", run)
+        got = J._in_blocks(df, sum(len(x[3]) for x in lists), 75)
+        assert sorted(map(tuple, got.collect())) == want
+    assert J._in_blocks(df.limit(0), 0, 75).count() == 0
+
+
 def test_near_duplicates_empty(spark):
     assert J.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
