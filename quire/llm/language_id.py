@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quire.llm.worker import kept
+from quire.llm.worker import kept, release, trim
 from quire.session import stored
 
 SPACE = "▁"
@@ -176,6 +176,7 @@ def vocabulary(model_file: str) -> list[str]:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         counts: dict[tuple[str, str], int] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
@@ -223,6 +224,7 @@ def train(docs: DataFrame, model_file: str, docs_per_label: int = 1200, rounds:
 
 def _expectation(model: PieceModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total = np.zeros_like(model.table)
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
@@ -336,6 +338,7 @@ def identify(docs: DataFrame, model: PieceModel | None, text: str = "text") -> D
                 names = [n for i, n in enumerate(batch.schema.names) if i != at] + ["lang_pred", "score"]
                 columns = [c for i, c in enumerate(batch.columns) if i != at]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(labels, pa.string()), pa.array(np.where(seen, share, 0.0))], names=names)
+        trim()
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema], "lang_pred string, score double"])
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("lid_text")).mapInArrow(run, schema)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.worker import kept
+from quire.llm.worker import kept, trim
 
 SPACE = "▁"
 #: Words kept in each of two generations of a worker's memory.
@@ -318,6 +318,7 @@ def _round_trip(model_file: str, with_ids: bool):
                 names = [n for i, n in enumerate(batch.schema.names) if i != at] + ["n_tokens", "ids", "decoded"]
                 columns = [c for i, c in enumerate(batch.columns) if i != at] + [counts, ids, decoded]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        trim()
     return run
 
 

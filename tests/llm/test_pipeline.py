@@ -1,5 +1,6 @@
 """The corpus pipeline and the registered queries against brute force on the smallest tables."""
 
+import numpy as np
 import pytest
 import sentencepiece as library
 from pyspark.sql import functions as F
@@ -76,3 +77,22 @@ def test_line_query(spark, sf, name):
     want = brute_lines(docs, 2, 40, 1)
     got = {r.doc_id: r.text_sha256 for r in queries()[name](spark, sf).collect()}
     assert got == {k: None if t is None else hashlib.sha256(t.encode()).hexdigest() for k, t in want.items()}
+
+
+def test_training_drops_kept_objects(monkeypatch):
+    """The tasks that train the language model drop what an earlier stage left in the worker, and give its memory back."""
+    from quire.llm import language_id, worker
+    trimmed = []
+    monkeypatch.setattr(worker, "trim", lambda: trimmed.append(1))
+    model = language_id.PieceModel(["a"], ["x"], np.ones((2, 1)))
+    for run in (language_id._word_counts, language_id._expectation(model)):
+        held = worker.kept("an encoder", lambda: [0] * 10)
+        assert worker.kept("an encoder", list) is held
+        trimmed.clear()
+        list(run(iter([])))
+        assert trimmed == [1]
+        assert worker.kept("an encoder", list) == []
+    worker.kept("another", list)
+    assert trimmed == [1, 1]
+    monkeypatch.undo()
+    worker.trim()
