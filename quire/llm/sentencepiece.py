@@ -26,7 +26,9 @@ SPACE = "▁"
 CACHE_WORDS = 100_000
 CACHE_WORD_CHARS = 64
 #: Bytes of text that a worker encodes at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+#: Pairs of pieces whose compatibility a worker remembers, about 100 bytes each.
+FIT_PAIRS = 500_000
 
 
 class MergeCodec:
@@ -114,7 +116,7 @@ class MergeCodec:
                 next_merge, a = rank[a], parts[a][1]
             else:  # at equal order the seam lies further left and merges first
                 next_merge, b = rank[b] + 1, parts[b][0]
-        if len(self.fits) > 2_000_000:
+        if len(self.fits) >= FIT_PAIRS:
             self.fits.clear()
         self.fits[left << 32 | right] = good
         return good

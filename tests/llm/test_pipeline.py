@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from quire.llm import language_id
 from quire.llm.catalog import PIECES, queries
+from quire.session import REQUIRED_CONF, configure
 from tests.llm.test_joins import brute_contamination, brute_groups, brute_lines
 
 
@@ -53,6 +54,19 @@ def test_empty_documents(spark, sf):
         assert docs.count() == 0
 
 
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_applies_settings(spark, sf, name):
+    """A stage that is called alone bounds its batches as the registered queries do."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for key in REQUIRED_CONF:
+        spark.conf.unset(key)
+    try:
+        dict(corpus_pipeline.STAGES)[name](spark, docs, sf)
+        assert {key: spark.conf.get(key) for key in REQUIRED_CONF} == REQUIRED_CONF
+    finally:
+        configure(spark)
+
+
 def test_registry():
     names = entry.queries()
     assert [n for n in names if n.startswith("op")] == list(queries()) and "pipeline" in names

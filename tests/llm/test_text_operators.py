@@ -47,6 +47,15 @@ def test_incompatible_neighbours_are_refused(pieces, own):
         assert own.compatible(a, b) == (own._run(text) == [a, b])
 
 
+def test_remembered_pairs_are_bounded(pieces, monkeypatch):
+    """A worker forgets remembered pairs at the bound and encodes on with equal ids."""
+    monkeypatch.setattr(S, "FIT_PAIRS", 50)
+    fresh, rnd = S.MergeCodec(PIECES), random.Random(8)
+    for _ in range(300):
+        text = "".join(rnd.choice("abcdefgh") for _ in range(30))
+        assert fresh.encode(text) == pieces.encode(text) and len(fresh.fits) <= 50
+
+
 def test_encode_decode_rows(spark, pieces):
     rows = [(i, t, 7) for i, t in enumerate(ODD)] + [(None, "same", 1), (None, "same", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
