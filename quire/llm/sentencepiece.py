@@ -26,7 +26,7 @@ SPACE = "▁"
 CACHE_WORDS = 100_000
 CACHE_WORD_CHARS = 64
 #: Bytes of text that a worker encodes at once.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 #: Pairs of pieces whose compatibility a worker remembers, about 100 bytes each.
 FIT_PAIRS = 500_000
 
