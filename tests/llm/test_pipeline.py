@@ -67,6 +67,29 @@ def test_stage_applies_settings(spark, sf, name):
         configure(spark)
 
 
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage_gives_memory_back(spark, sf, monkeypatch, name):
+    """What earlier stages left in the executors is collected before a stage begins."""
+    steps = []
+    monkeypatch.setattr(corpus_pipeline, "give_back", lambda session: steps.append(session))
+    with pytest.raises(AttributeError):  # these are no documents
+        dict(corpus_pipeline.STAGES)[name](spark, None, sf)
+    assert steps == [spark]
+
+
+def test_give_back(spark):
+    """Unused objects go although they are old; local tasks share the driver's heap."""
+    left = spark._jvm.java.lang.StringBuilder("left by an earlier stage")
+    seen = spark._jvm.java.lang.ref.WeakReference(left)
+    spark._jvm.System.gc()  # from now on it is old, and small collections leave it alone
+    spark.sparkContext._gateway.detach(left)
+    for _ in range(10):  # the gateway's threads may still hold it at first
+        corpus_pipeline.give_back(spark)
+        if seen.get() is None:
+            break
+    assert seen.get() is None
+
+
 def test_registry():
     names = entry.queries()
     assert [n for n in names if n.startswith("op")] == list(queries()) and "pipeline" in names
