@@ -60,9 +60,9 @@ def s1_documents(spark, sf):
     text = F.when(F.col("old"), F.concat(F.lit("["), "records", F.lit("]"))).otherwise(
         F.concat(F.lit('{"metadata":{"schema_version":2},"publications":['), "records", F.lit("]}")))
     files.select(text.alias("value"), "volume").repartition("volume").write.partitionBy("volume").text(path)
-    records = D.read_records(spark, f"{path}/*", "document").withColumn("version", F.col("schema_version"))
-    good = D.validate_publications(records)[0].join(records.select("ord", "version"), "ord")
-    return good.select("id", "title", F.size("editors").alias("editors"), "version", (F.col("ord.line") + 1).alias("place"))
+    records = D.read_records(spark, f"{path}/*", "document").withColumn("ord", F.struct("ord.*", "schema_version"))  # the version travels with the place
+    good = D.validate_publications(records)[0]
+    return good.select("id", "title", F.size("editors").alias("editors"), F.col("ord.schema_version").alias("version"), (F.col("ord.line") + 1).alias("place"))
 
 
 @query("s2_write_publications", "SELECT 2 AS schema_version, '2024-01-01' AS last_update, count(*) AS publications FROM part")
