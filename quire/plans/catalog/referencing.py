@@ -135,7 +135,9 @@ def _items(spark, sf) -> DataFrame:
 @query("r7_apply_safe", _R1 + """ SELECT id, CASE WHEN n > 40 THEN 'stale' WHEN lang IN ('fr', 'de') AND (n > 0 OR lang = 'de') THEN 'change' ELSE 'policy' END AS status
     FROM r WHERE n > 40 OR NOT (lang = 'es' AND n > 0)""")
 def r7(spark, sf):
-    changes, policy, stale = R.apply_safe_references(_items(spark, sf), spark.createDataFrame([], "id long, fingerprint string"))
+    items = cut_lineage(_items(spark, sf).select("id", "projected", "inserted_references", "citation_updates", "identifier_updates", "needs_review",
+                                                 "current_fingerprint", "proposed_fingerprint", "now_fingerprint"))  # read three times
+    changes, policy, stale = R.apply_safe_references(items, spark.createDataFrame([], "id long, fingerprint string"))
     tag = lambda d, s: d.select("id", F.lit(s).alias("status"))
     return tag(changes, "change").unionByName(tag(policy, "policy")).unionByName(tag(stale, "stale"))
 
