@@ -132,18 +132,23 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     """All pairs of different lines within ``edits`` edits: ``a``, ``b`` (line keys, a < b), ``distance``.
 
     The first scan posts the segment and probe keys and keeps those that two lines share; the second
-    brings the lines behind them. Counts of frequent letters are compared inside the join, so
-    variants of one line that differ too much do not become rows.
+    brings the lines behind them, with their texts only while the shared keys are broadcast. Counts
+    of frequent letters are compared inside the join, so variants of one line that differ too much do
+    not become rows.
     """
     posted = lines_of(docs, min_chars).select(line_key(F.col("line")).alias("id"), "size", "line")
     entries = segment_entries(posted, edits)
-    shared = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-    shared = bounded(stored(shared, "keys"), BROADCAST_ROWS)
-    met = stored(entries.join(shared, "key").groupBy("key", "probe", "id", "size").agg(F.min("line").alias("line")), "met")
-    texts = met.groupBy("id").agg(F.min("line").alias("line"))
+    shared = stored(entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key"), "keys")
+    if shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        met = stored(entries.join(F.broadcast(shared), "key").groupBy("key", "probe", "id", "size").agg(F.min("line").alias("line")), "met")
+        texts = met.groupBy("id").agg(F.min("line").alias("line"))
+    else:  # every entry is shuffled: a line has many, so its text comes once, when it is known which lines met
+        met = stored(entries.drop("line").join(shared, "key").distinct(), "met")
+        texts = (posted.select("id", "line").join(bounded(met.select("id").distinct(), BROADCAST_ROWS), "id", "left_semi")
+                 .groupBy("id").agg(F.min("line").alias("line")))
     counts = [(F.length("line") - F.length(F.translate("line", c + c.upper(), ""))).alias(f"n_{c}") for c in COUNTED]
     texts = stored(texts.select("id", "line", *counts), "texts")
-    sides = met.drop("line").join(texts.drop("line"), "id")
+    sides = met.select("key", "probe", "id", "size").join(texts.drop("line"), "id")
     left = sides.where("NOT probe").select("key", F.col("id").alias("a"), F.col("size").alias("asize"), *[F.col(f"n_{c}").alias(f"a_{c}") for c in COUNTED])
     right = sides.select("key", F.col("id").alias("b"), "size", *[f"n_{c}" for c in COUNTED])
     differ = reduce(lambda p, q: p + q, [F.abs(F.col(f"a_{c}") - F.col(f"n_{c}")) for c in COUNTED])

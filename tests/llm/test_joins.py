@@ -247,3 +247,17 @@ def test_dedup_short_lines(spark):
     assert got == {1: (docs[0][1], 0), 2: ("a\nLicensed under BSD.\n ", 3), 3: ("\n\n", 2), 4: (None, 0)}
     got = {x.doc_id: x.text for x in E.dedup_lines(df, 2, 20, 5).collect()}
     assert got[2] == "a\nLicensed under BSD.\n \nx" and got[3] == "\na\n\n"
+
+
+def test_near_lines_beyond_a_broadcast(spark, monkeypatch):
+    """When every entry is shuffled, no entry carries the text of its line."""
+    written = {}
+    keep = E.stored
+    monkeypatch.setattr(E, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(E, "stored", lambda df, name: (written.setdefault(name, df.columns), keep(df, name))[1])
+    docs = noisy_lines(4)
+    lines = sorted({x for _, t in docs for x in t.split("\n") if len(x) >= 8})
+    named = {x.id: x.line for x in spark.createDataFrame([(x,) for x in lines], "line string").select("line", E.line_key(F.col("line")).alias("id")).collect()}
+    got = {tuple(sorted((named[x.a], named[x.b]))): x.distance for x in E.near_lines(spark.createDataFrame(docs, "doc_id long, text string"), 2, 8).collect()}
+    assert got == {(a, b): n for i, a in enumerate(lines) for b in lines[i + 1:] if (n := levenshtein(a, b)) <= 2}
+    assert sorted(written["met"]) == ["id", "key", "probe", "size"] and "line" in written["texts"]

@@ -129,3 +129,24 @@ def test_findings_read_the_comparisons_once(spark):
 
     plan = AU.review_findings(Q.comparisons(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 5  # one scan of the parts for the canonical side and one for each of four providers
+
+
+def test_neither_side_of_the_comparison_is_broadcast(spark):
+    c = spark.createDataFrame([("1", "title", ["A"], False)], CANON)
+    p = spark.createDataFrame([("1", "a", 1, "available", "", "title", ["a"], False)], PROV)
+    plan = AU.compare(c, p)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_the_short_way_equals_the_steps(spark):
+    """Comparison forms of the audit, where plain values skip steps, against the form that takes them all."""
+    from quire.functions import text as X
+
+    values = ["Plain Title.", "  two  blanks ", "a--b", "x – y", "<i>A</i> b", "AT&amp;T", "$x$ {y} \\alpha", "well- d one", "A 1-2", "Summary: all", "ﬁne Straße", "3 - 3", "12-12", "tab\there", ""]
+    rows = [(f, [v]) for v in values for f in ("title", "abstract", "pages", "publisher")] + [
+        ("keywords", ["B", "a.", "b"]), ("keywords", []), ("authors", ["Ann Lee", "Bö  Ray"]), ("authors", None), ("keywords", [None, "x"])]
+    df = AU.with_canonical_forms(spark.createDataFrame(rows, "field string, value array<string>"), "value")
+    whole = F.coalesce(*[F.when(F.col("field") == f, F.col(f"w_{f}")) for f in ("title", "abstract", "pages", "publisher", "keywords", "authors")])
+    df = df.withColumns({f"w_{f}": X.norm_value(f, F.col("value")) for f in ("title", "abstract", "pages", "publisher", "keywords", "authors")})
+    for r in df.select("field", "value", "canon_norm", whole.alias("whole")).collect():
+        assert r["canon_norm"] == r["whole"], (r["field"], r["value"])

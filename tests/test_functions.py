@@ -121,3 +121,13 @@ def test_name_tokens_of_any_script(spark):
     row = spark.createDataFrame([("Joséphine Dü", "Иванов Петр", "Nguyễn Văn", "Nguyen Van")], "a string, b string, c string, d string").select(
         name_tokens("a").alias("a"), name_tokens("b").alias("b"), names_compatible("c", "d").alias("same"), names_compatible("b", "d").alias("other")).first()
     assert row["a"] == ["josephine", "du"] and row["b"] == ["иванов", "петр"] and row["same"] and not row["other"]
+
+
+def test_tight_equals_the_spacing_patterns(spark):
+    from pyspark.sql import functions as F
+    from quire.functions import text as X
+
+    rows = spark.createDataFrame([(x,) for x in ["a - b", "a -b , c ; d", "x  -  y\t.", "é – è !", "", None]], "t string")
+    form = X.norm_text("title", "t")
+    old = F.regexp_replace(F.regexp_replace(form, r"(?U)\s*-\s*", "-"), r"(?U)\s+([,.;:!?])", "$1")
+    assert all(r["new"] == r["old"] for r in rows.select(X.tight(form).alias("new"), old.alias("old")).collect())

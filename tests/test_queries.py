@@ -55,3 +55,15 @@ def test_display_name_query(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     got = sorted((str(r.p_partkey), r.name) for r in entry.queries()["c17_display_name"](spark, str(tmp_path)).collect())
     assert got == [("1", "Brand#1"), ("2", "red blue"), ("2", "red blue"), ("3", "a b"), ("None", "Brand#4")]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_items_of_an_apply_are_made_once(spark, sf):
+    assert "EvalPython" not in _plan(entry.queries()["r7_apply_safe"](spark, sf))
+
+
+def test_exchange_files_are_read_once(spark, sf):
+    assert "Join" not in _plan(entry.queries()["s1_read_documents"](spark, sf))
